@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, search
 
-_MODULES = (bpe,)
+_MODULES = (bpe, search)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
