@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, search, sharding
+from . import bpe, quality, search, sharding
 
-_MODULES = (bpe, search, sharding)
+_MODULES = (quality, search, sharding, bpe)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
