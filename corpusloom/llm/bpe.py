@@ -27,42 +27,61 @@ PAIR_ENTRIES = 1_000_000
 
 
 class RankBitmap:
-    """A set of ranks below ``size``; ``first`` is the least, by one find-first-set for each level of 64."""
+    """A set of ranks: words of 256 bits, and above them one bit for each word that isn't empty."""
 
     def __init__(self, size: int):
-        self.levels: list[list[int]] = []
-        while True:
-            size = (size + 63) // 64
-            self.levels.append([0] * size)
-            if size == 1:
-                break
+        self.words = [0] * ((size + 255) // 256)
+        self.top = 0
 
     def add(self, rank: int) -> None:
-        for level in self.levels:
-            at = rank >> 6
-            before = level[at]
-            level[at] = before | (1 << (rank & 63))
-            if before:
-                return
-            rank = at
+        self.words[rank >> 8] |= BIT[rank & 255]
+        self.top |= 1 << (rank >> 8)
 
     def remove(self, rank: int) -> None:
-        for level in self.levels:
-            at = rank >> 6
-            level[at] &= ~(1 << (rank & 63))
-            if level[at]:
-                return
-            rank = at
+        self.words[rank >> 8] ^= BIT[rank & 255]
+        if not self.words[rank >> 8]:
+            self.top ^= 1 << (rank >> 8)
 
     def first(self) -> int:
-        """The least rank, or -1."""
-        if not self.levels[-1][0]:
+        """The least rank, by a find-first-set on each level; -1 if there is none."""
+        top = self.top
+        if not top:
             return -1
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            at = (at << 6) | ((word & -word).bit_length() - 1)
-        return at
+        at = (top & -top).bit_length() - 1
+        word = self.words[at]
+        return (at << 8) + (word & -word).bit_length() - 1
+
+
+BIT = [1 << i for i in range(256)]
+
+
+class _Pairs(dict):
+    """Rank of two adjacent parts by left * 2**20 + right, or -1; worked out when first asked for."""
+
+    def __init__(self, ranks: dict[bytes, int], tokens: dict[int, bytes]):
+        self.ranks, self.tokens = ranks, tokens
+
+    def __missing__(self, key: int) -> int:
+        found = self.ranks.get(self.tokens[key >> 20] + self.tokens[key & 0xFFFFF], -1)
+        if len(self) >= PAIR_ENTRIES:
+            self.clear()
+        self[key] = found
+        return found
+
+
+class _Packed(dict):
+    """The ids of a pre-token as native 32-bit integers; encoded when first asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        found = np.array(self.encode(piece.encode()), np.int32).tobytes()
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[piece] = found
+        return found
 
 
 class RankedBpe:
@@ -76,71 +95,61 @@ class RankedBpe:
         self.split = regex.compile(pattern).findall
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.bitmap = RankBitmap(max(ranks.values()) + 1)
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.cache: dict[str, bytes] = {}
-
-    def pair(self, left: int, right: int) -> int:
-        """The rank of two adjacent parts, or -1."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            found = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-            if len(self.pairs) >= PAIR_ENTRIES:
-                self.pairs.clear()
-            self.pairs[left, right] = found
-        return found
+        self.buckets: dict[int, list[int]] = {}
+        self.pairs = _Pairs(ranks, self.tokens)
+        self.packed = _Packed(self.encode_piece)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: least rank first, leftmost among equals."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, pair, bitmap = len(piece), self.pair, self.bitmap
+        n, pairs, bitmap, buckets = len(piece), self.pairs, self.bitmap, self.buckets
         part = [self.single[b] for b in piece]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        buckets: dict[int, list[int]] = {}
-
-        def push(rank: int, at: int) -> None:
-            bucket = buckets.get(rank)
-            if bucket is None:
-                buckets[rank] = [at]
-                bitmap.add(rank)
-            else:
-                heappush(bucket, at)
-
-        for i in range(n - 1):
-            if (rank := pair(part[i], part[i + 1])) >= 0:
-                push(rank, i)
+        part.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        left = part[0]
+        for at in range(n - 1):
+            right = part[at + 1]
+            rank = pairs[(left << 20) + right]
+            left = right
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(at)  # in order, so a heap
+                else:
+                    buckets[rank] = [at]
+                    bitmap.add(rank)
         while (rank := bitmap.first()) >= 0:
             bucket = buckets[rank]
-            at = heappop(bucket)
-            if not bucket:
+            if len(bucket) == 1:
+                at = bucket[0]
                 del buckets[rank]
                 bitmap.remove(rank)
-            if part[at] < 0 or (right := after[at]) >= n or pair(part[at], part[right]) != rank:
+            else:
+                at = heappop(bucket)
+            left, right = part[at], after[at]
+            if left < 0 or right >= n or pairs[(left << 20) + part[right]] != rank:
                 continue  # stale
             part[at], part[right] = rank, -1
             after[at] = right = after[right]
-            if right < n:
-                before[right] = at
-                if (new := pair(rank, part[right])) >= 0:
-                    push(new, at)
-            if (left := before[at]) >= 0 and (new := pair(part[left], rank)) >= 0:
-                push(new, left)
+            before[right] = at
+            if right < n and (new := pairs[(rank << 20) + part[right]]) >= 0:
+                if new in buckets:
+                    heappush(buckets[new], at)
+                else:
+                    buckets[new] = [at]
+                    bitmap.add(new)
+            at = before[at]
+            if at >= 0 and (new := pairs[(part[at] << 20) + rank]) >= 0:
+                if new in buckets:
+                    heappush(buckets[new], at)
+                else:
+                    buckets[new] = [at]
+                    bitmap.add(new)
         return [x for x in part if x >= 0]
 
-    def packed(self, piece: str) -> bytes:
-        """The ids of a pre-token as native 32-bit integers."""
-        found = self.cache.get(piece)
-        if found is None:
-            found = np.array(self.encode_piece(piece.encode()), np.int32).tobytes()
-            if len(piece) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
-                self.cache[piece] = found
-        return found
-
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.packed, self.split(text))), np.int32)
+        return np.frombuffer(b"".join(map(self.packed.__getitem__, self.split(text))), np.int32)
 
     def decode(self, ids) -> bytes:
         """The bytes of ``ids``; an id without a token raises KeyError."""
@@ -194,11 +203,13 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks_pa
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         bpe = load(ranks_path)
         for batch in batches:
             ids = batch.column(1)
-            decoded = [bpe.decode(row or ()) for row in ids.to_pylist()]
+            values, ends = np.asarray(ids.flatten()).tolist(), np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(ids), 0)))
+            decoded = [bpe.decode(values[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], [id_col, "ids", "decoded"])
 
     schema = T.StructType([_carried(df, id_col), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
