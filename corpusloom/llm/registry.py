@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, search, secret_scan, sharding
+from . import bpe, quality, search, secret_scan, sharding, url_filter
 
-_MODULES = (quality, sharding, secret_scan, bpe, search)
+_MODULES = (quality, url_filter, sharding, secret_scan, bpe, search)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
