@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, search, secret_scan, sharding, url_filter
+from . import bpe, packing, quality, search, secret_scan, sharding, toxicity, url_filter
 
-_MODULES = (quality, packing, url_filter, sharding, secret_scan, bpe, search)
+_MODULES = (quality, packing, url_filter, sharding, secret_scan, toxicity, bpe, search)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
