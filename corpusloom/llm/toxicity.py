@@ -70,15 +70,13 @@ def fit(texts: list[str], toxic: np.ndarray) -> tuple[float, np.ndarray, np.ndar
     none = np.zeros(0, np.int64), np.zeros(0)
     if not positive or not negative:
         return (4.0 if positive else -4.0), *none
-    rows, columns = [], []
-    for at in range(0, len(texts), 256):
-        row, column = features(texts[at : at + 256])
-        rows.append(row + at)
-        columns.append(column)
-    row, column = np.concatenate(rows), np.concatenate(columns)
     size = 1 << BITS
-    p = np.bincount(column[toxic[row]], minlength=size)
-    q = np.bincount(column[~toxic[row]], minlength=size)
+    p, q = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for at in range(0, len(texts), 64):
+        row, column = features(texts[at : at + 64])
+        bad = toxic[row + at]
+        p += np.bincount(column[bad], minlength=size)
+        q += np.bincount(column[~bad], minlength=size)
     ratio = np.log((p + 1) / (positive + 2)) - np.log((q + 1) / (negative + 2))
     # what a feature says over the whole sample: its ratio times the difference of its rates
     telling = np.where(p + q >= LEAST_TEXTS, np.abs(ratio * (p / positive - q / negative)), 0)
@@ -88,8 +86,12 @@ def fit(texts: list[str], toxic: np.ndarray) -> tuple[float, np.ndarray, np.ndar
         return 0.0, *none
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
-    keep = place[column] >= 0
-    row, column = row[keep], place[column[keep]]
+    rows, columns = [], []
+    for at in range(0, len(texts), 64):
+        row, column = features(texts[at : at + 64], place >= 0)
+        rows.append(row + at)
+        columns.append(place[column])
+    row, column = np.concatenate(rows), np.concatenate(columns)
     scale = ratio[chosen]
     x = scale[column]
     y, n = toxic.astype(float), len(toxic)
