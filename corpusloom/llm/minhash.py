@@ -260,6 +260,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "class_id")
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class: the one with the least id.
+
+    Of rows that share an id one stays. Rows without an id get one below 0 for the comparison.
+    """
+    if docs.where(F.col(id_col).isNull()).isEmpty():
+        held, key = docs, id_col
+    else:
+        key = "_near_id"
+        held = materialize(docs.withColumn(key, F.coalesce(F.col(id_col), -1 - F.monotonically_increasing_id())))
+    classes = near_duplicates(held, key, text_col)
+    gone = classes.where(F.col(key) != F.col("class_id")).select(key).distinct()
+    held = held.join(gone, key, "left_anti")
+    if not held.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        held = held.dropDuplicates([key])
+    return held.select(*docs.columns)
+
+
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """The class of every document."""
     from .common import read

@@ -149,6 +149,24 @@ def written(spans: str) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
+def redacted(docs: DataFrame, text_col: str = "text", marker: str = "[SECRET]") -> DataFrame:
+    """``docs`` with each found stretch of the text replaced by ``marker``; overlapping spans are one stretch.
+
+    Texts without spans, nulls among them, stay as they are.
+    """
+    found = scanned(docs, text_col)
+    text = F.col(text_col).cast("string")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s, x):
+        apart = x["start"] >= s["at"]
+        out = F.when(apart, F.concat(s["out"], F.substr(text, s["at"] + 1, x["start"] - s["at"]), F.lit(marker))).otherwise(s["out"])
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+
+    whole = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.char_length(text))))
+    return found.withColumn(text_col, F.when(F.size("spans") > 0, whole).otherwise(text)).select(*(c for c in docs.columns if c in found.columns and c not in ("base", "spans")))
+
+
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     """The spans of every document, counted and written out."""
     from .common import read

@@ -281,29 +281,20 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     return hits.groupBy("file", "row").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), texts
 
 
-def _kept(length: int):
-    """Bytes that stay, bytes that go and their runs, of each text."""
-
-    def apply(text: bytes, ranges: list[dict] | None) -> tuple[bytes, int, int]:
-        if not ranges:
-            return text, 0, 0
-        kept, at, removed, spans = [], 0, 0, 0
-        end = -1
-        for begin, stop in sorted((x["from"], x["to"]) for x in ranges):
-            if begin > end:
-                if end >= 0:
-                    at = end
-                kept.append(text[at:begin])
-                spans += 1
-                removed += stop - begin
-                end = stop
-            elif stop > end:
-                removed += stop - end
-                end = stop
-        kept.append(text[end:])
-        return b"".join(kept), removed, spans
-
-    return apply
+def _kept(text: bytes, ranges: list[dict] | None) -> tuple[bytes, int, int]:
+    """Bytes that stay, bytes that go, and the runs that these are in."""
+    kept, end, removed, spans = [], 0, 0, 0
+    for begin, stop in sorted((x["from"], x["to"]) for x in ranges or ()):
+        if begin > end or not spans:
+            kept.append(text[end:begin])
+            spans += 1
+            removed += stop - begin
+            end = stop
+        elif stop > end:
+            removed += stop - end
+            end = stop
+    kept.append(text[end:])
+    return b"".join(kept), removed, spans
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -323,11 +314,11 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
         import pyarrow as pa
         import zstandard
 
-        expand, apply = zstandard.ZstdDecompressor().decompress, _kept(length)
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             k = batch.num_columns
             before = [expand(x) for x in batch.column(k - 2).to_pylist()]
-            done = [apply(text, own) for text, own in zip(before, batch.column(k - 1).to_pylist())]
+            done = [_kept(text, own) for text, own in zip(before, batch.column(k - 1).to_pylist())]
             columns = [pa.array([x[0] for x in done], pa.binary()), *(pa.array(x, pa.int64()) for x in (list(map(len, before)), [x[1] for x in done], [x[2] for x in done]))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: k - 2], *columns], schema.names)
 
@@ -335,6 +326,30 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
     return rows.mapInArrow(run, schema)
 
 
+def trimmed(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` with repeated bytes taken out of the text. Characters that lose a part of their bytes go whole.
+
+    Every row stays; a null text stays null.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [None if null else kept.decode(errors="ignore") for kept, null in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[2:]], names)
+
+    others = [c for c in docs.columns if c != text_col]
+    safe = {c: f"_own{i}" for i, c in enumerate(others)}
+    own = docs.select(F.col(text_col).isNull().alias("_null"), *(F.col(c).alias(safe[c]) for c in others), F.col(text_col).alias("text"))
+    done = without_repeats(own, "text", length).select("kept", "_null", *safe.values())
+    names = ["text", *safe.values()]
+    out = done.mapInArrow(run, done.drop("_null", "kept").select(F.lit("").alias("text"), "*").schema)
+    back = {v: k for k, v in safe.items()} | {"text": text_col}
+    out = out.select(*(F.col(c).alias(back[c]) for c in names))
+    return out.select(*docs.columns)
+
+
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What stays of every document, as counts and a digest."""
     from .common import read
