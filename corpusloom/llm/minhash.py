@@ -5,10 +5,12 @@ weighted sampling: each sample is a shingle with a quantised weight, and two doc
 the probability of their weighted Jaccard similarity. Samples make bands; documents that share a band are
 candidates. What they come to is decided by the weighted Jaccard similarity of their whole shingle sets.
 
-Equal texts are one node from the start. In each band's bucket every node is held against the bucket's first
-one, its head. A node that doesn't end up in its head's class is then held against the bucket's other
-classes. One minus the similarity is a metric, so with the distances to the head known, only pairs whose two
-distances differ by no more than the threshold allows can be similar; the rest needs no check.
+Equal texts are one node from the start. In each band's bucket every node is held against one of them, its
+head: the one that shares most with all others. A node that doesn't end up in its head's class is then held
+against the bucket's other classes, where two bounds leave out only what can't be similar. One minus the
+similarity is a metric, so the distances of both to the head may not differ by more than the threshold
+allows. And shingles that only one of all these nodes has can't be shared: the weight of the others bounds
+what two sets have in common.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ FREQUENCIES = 1 << 16
 #: The IDF of a shingle falls from 1, for one in fewer than RARE of the documents, to COMMON for one in all.
 #: It falls gently: the copies of a large group share common shingles and differ in rare ones.
 RARE, COMMON = 1 / 32, 0.8
+#: Buckets of more nodes work out what their nodes can have in common at most.
+WIDE = 4
 _CHUNK = 1 << 16
 
 
@@ -215,6 +219,25 @@ def _checked(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([T.StructField("a", rows.schema["a"].dataType), T.StructField("b", rows.schema["b"].dataType), T.StructField("sim", T.DoubleType())]))
 
 
+def _bounds(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``id``, ``whole`` and ``common``: the weight of a text's shingles, and of those that other texts have too."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            doc, h, n = shingles([text or "" for text in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(weighed(h, n, idf))], ["id", "token", "weight"])
+
+    rows = texts.select("id", "text").mapInArrow(run, T.StructType([texts.schema["id"], T.StructField("token", T.LongType()), T.StructField("weight", T.FloatType())]))
+    # a token's rows: who has it if only one does, and all weights of that one
+    rows = materialize(rows)
+    single = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.min("weight").alias("weight")).where("n = 1")
+    single = single.groupBy("id").agg(F.sum(F.col("weight").cast("double")).alias("alone"))
+    whole = rows.groupBy("id").agg(F.sum(F.col("weight").cast("double")).alias("whole"))
+    return whole.join(single, "id", "left").select("id", "whole", (F.col("whole") - F.coalesce("alone", F.lit(0.0))).alias("common"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """``id_col`` and ``class_id`` of every row: the least id among the documents it is near to.
 
@@ -229,12 +252,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(_signed(own, idf))
     nodes = materialize(signed.where("id IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     held = nodes.select("id", F.explode("bands").alias("band"))
-    buckets = held.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").select("band", "head")
-    members = materialize(held.join(buckets, "band").distinct())
+    buckets = held.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").select("band", "n")
+    shared = materialize(held.join(buckets, "band").distinct())
+    central = shared.join(shared.groupBy("id").agg(F.sum("n").alias("near")), "id")
+    heads = central.groupBy("band").agg(F.min(F.struct((-F.col("near")).alias("near"), "id"))["id"].alias("head"))
+    members = materialize(shared.select("band", "id", "n").join(heads, "band"))
     pairs = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     asked = members.select("id").distinct()
-    # ids that repeat must not repeat a pair's rows
-    texts = materialize(own.join(asked, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    # ids that repeat must not repeat a pair's rows; both sides grow with the input, so neither is broadcast
+    texts = materialize(own.join(asked.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     sims = materialize(_checked(pairs, texts, idf))
     # rows with one id tie their texts together
     ties = signed.where("id IS NOT NULL").select("id", "key").distinct().join(nodes.select("key", F.col("id").alias("first")), "key").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
@@ -243,16 +269,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     placed = placed.join(sims.select(F.col("a").alias("head"), F.col("b").alias("id"), "sim"), ["head", "id"], "left").withColumn("far", 1 - F.coalesce("sim", F.lit(1.0)))
     heads = labels.select(F.col("node").alias("head"), F.col("label").alias("head_label"))
-    placed = materialize(placed.join(heads, "head", "left").withColumn("head_label", F.coalesce("head_label", "head")).select("band", "head", "id", "label", "head_label", "far"))
-    apart = placed.where("label <> head_label").select("band", F.col("id").alias("a"), F.col("label").alias("a_label"), F.col("far").alias("a_far"))
-    others = placed.where("id <> head").select("band", F.col("id").alias("b"), F.col("label").alias("b_label"), F.col("head_label").alias("b_head"), F.col("far").alias("b_far"))
-    close = (F.col("a_label") != F.col("b_label")) & (F.abs(F.col("a_far") - F.col("b_far")) <= 1 - threshold + 1e-6)
-    # a pair of two nodes that are both apart comes up once
-    once = (F.col("a") < F.col("b")) | (F.col("b_label") == F.col("b_head"))
-    more = apart.join(others, "band").where(close & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(more.join(sims.select("a", "b"), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = _checked(more, texts, idf).where(F.col("sim") >= threshold).select("a", "b")
+    placed = materialize(placed.join(heads, "head", "left").withColumn("head_label", F.coalesce("head_label", "head")).select("band", "n", "head", "id", "label", "head_label", "far"))
+    apart = placed.where("label <> head_label")
+    if not apart.isEmpty():
+        # those that are apart, against all in their buckets but the heads
+        rows = placed.where("id <> head").join(apart.select("band").distinct(), "band", "left_semi")
+        wide = F.col("n") > WIDE
+        bounds = _bounds(texts.join(rows.where(wide).select("id").distinct(), "id", "left_semi"), idf)
+        least = threshold - 1e-6
+        # in wide buckets, without those that have too little in common with any other
+        rows = rows.join(bounds, "id", "left").where(~wide | (F.col("common") >= least * F.col("whole")))
+        rows = rows.join(rows.where(wide).groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands")), "id", "left")
+        side = lambda df, x: df.select("band", "n", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "label", "head_label", "far", "whole", "common", "bands")))
+        pairs = side(rows.where("label <> head_label"), "a").join(side(rows, "b").drop("n"), "band")
+        both = F.least("a_common", "b_common")
+        enough = ~wide | (both >= least * (F.col("a_whole") + F.col("b_whole") - both))
+        close = (F.col("a_label") != F.col("b_label")) & (F.abs(F.col("a_far") - F.col("b_far")) <= 1 - least)
+        # a pair comes up in the first of its wide buckets, and once if both are apart
+        once = (F.col("a_id") < F.col("b_id")) | (F.col("b_label") == F.col("b_head_label"))
+        once &= ~wide | (F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("band"))
+        more = pairs.where(close & enough & once).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+        found = materialize(_checked(more, texts, idf).where(F.col("sim") >= threshold).select("a", "b"))
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
     nodes = nodes.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
     classes = nodes.select("key", F.coalesce("label", "id").alias("class_id"))
@@ -263,13 +300,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: the one with the least id.
 
-    Of rows that share an id one stays. Rows without an id get one below 0 for the comparison.
+    Of rows that share an id one stays. Rows without an id come after all others.
     """
     if docs.where(F.col(id_col).isNull()).isEmpty():
         held, key = docs, id_col
     else:
         key = "_near_id"
-        held = materialize(docs.withColumn(key, F.coalesce(F.col(id_col), -1 - F.monotonically_increasing_id())))
+        held = materialize(docs.withColumn(key, F.coalesce(F.col(id_col), F.lit(2**63 - 1) - F.monotonically_increasing_id())))
     classes = near_duplicates(held, key, text_col)
     gone = classes.where(F.col(key) != F.col("class_id")).select(key).distinct()
     held = held.join(gone, key, "left_anti")
