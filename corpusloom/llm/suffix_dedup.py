@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, mix, small_batches, text_bytes
 from .run_index import match_lengths
@@ -344,7 +345,7 @@ def trimmed(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> Da
     own = docs.select(F.col(text_col).isNull().alias("_null"), *(F.col(c).alias(safe[c]) for c in others), F.col(text_col).alias("text"))
     done = without_repeats(own, "text", length).select("kept", "_null", *safe.values())
     names = ["text", *safe.values()]
-    out = done.mapInArrow(run, done.drop("_null", "kept").select(F.lit("").alias("text"), "*").schema)
+    out = done.mapInArrow(run, T.StructType([T.StructField("text", T.StringType()), *(done.schema[c] for c in safe.values())]))
     back = {v: k for k, v in safe.items()} | {"text": text_col}
     out = out.select(*(F.col(c).alias(back[c]) for c in names))
     return out.select(*docs.columns)

@@ -180,11 +180,11 @@ def test_top_k_is_that_of_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BLOCK", 3)
     monkeypatch.setattr(search, "CANDIDATE_PART", 100)
     r = random.Random(seed)
-    vector = lambda: [r.choice([r.gauss(0, 1), r.randrange(-2, 3), 0.5]) for _ in range(6)]
+    vector = lambda: [r.choice([r.gauss(0, 1), float(r.randrange(-2, 3)), 0.5]) for _ in range(6)]
     rows = [(i, vector()) for i in range(600)]
     for i in range(0, 200):
         rows[r.randrange(600)] = (r.randrange(600), rows[7][1])
-    rows += [(None, vector()), (700, None), (701, [1.0, None, 0, 0, 0, 0]), (702, [float("nan")] * 6), (703, [float("inf")] * 6), (704, []), (800, [1.0, 2.0]), (705, [3e6] * 6)]
+    rows += [(None, vector()), (700, None), (701, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (702, [float("nan")] * 6), (703, [float("inf")] * 6), (704, []), (800, [1.0, 2.0]), (705, [3e6] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
     vectors = search.quantized(df)
     out = search.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
