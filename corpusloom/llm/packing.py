@@ -29,8 +29,9 @@ from pyspark.sql import types as T
 from .common import materialize, small_batches
 
 CAPACITY, END_ID = 1024, 2
-#: Groups of the large lengths; lengths up to CAPACITY / SMALL are small.
-GROUPS, SMALL = 8192, 8
+#: How many groups the large lengths make, and from which part of the capacity down lengths are small. Each
+#: takes milliseconds, so all are tried, and the one with the fewest sequences is taken.
+SETTINGS = tuple((groups, small) for groups in (8192, 1024, 65536) for small in (8, 2, 3, 4, 6, 16))
 #: Pre-tokens kept with their ids in a worker; beyond, the store starts anew. Longer pre-tokens aren't kept.
 CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
 
@@ -175,7 +176,13 @@ def _filling(sizes: list[int], left: list[int], first: int, capacity: int) -> li
     return sorted(out.items())
 
 
-def packed(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> list[tuple[int, tuple[int, ...]]]:
+def packed(counts: dict[int, int], capacity: int = CAPACITY, settings=SETTINGS) -> list[tuple[int, tuple[int, ...]]]:
+    """The outcome of ``grouped_packing`` for that one of the settings that needs the fewest sequences."""
+    tried = (grouped_packing(counts, capacity, groups, small) for groups, small in settings)
+    return min(tried, key=lambda classes: sum(n for n, _ in classes))
+
+
+def grouped_packing(counts: dict[int, int], capacity: int, groups: int, small: int) -> list[tuple[int, tuple[int, ...]]]:
     """(how many sequences, the lengths that each of them holds), for ``counts`` by length.
 
     Lengths are from 1 to ``capacity``. The outcome depends on the counts alone.
@@ -277,7 +284,7 @@ def places(classes: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, i
     return out
 
 
-def placed(made: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> DataFrame:
+def placed(made: DataFrame, capacity: int = CAPACITY, settings=SETTINGS) -> DataFrame:
     """``made``, rows with a ``length`` from 1 to ``capacity``, with ``sequence_id`` and ``offset``.
 
     Every row has its place; the places of a sequence follow without gaps from 0. Which of several rows of
@@ -290,7 +297,7 @@ def placed(made: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, smal
     held = held.select(F.struct(*names).alias("_row"), F.col("length").alias("_length"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
     by_file = held.groupBy("_length", "_file").agg(F.count(F.lit(1)).alias("_n"))
     counts = {row["_length"]: row.n for row in by_file.groupBy("_length").agg(F.sum("_n").alias("n")).collect()}
-    table = places(packed(counts, capacity, groups, small))
+    table = places(packed(counts, capacity, settings))
     earlier = Window.partitionBy("_length").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     before = by_file.select("_length", "_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_length", "_file").orderBy("_index"))
