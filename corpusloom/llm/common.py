@@ -50,8 +50,9 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hold the Arrow batches that Python workers get to ``rows`` rows, so that long texts fit."""
+    """Hold the Arrow batches that Python workers get to ``rows`` rows and 8 MB, so that long texts fit."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
