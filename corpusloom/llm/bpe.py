@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import kept_in_worker, small_batches
 
 #: Pre-tokens kept with their ids in a worker; beyond, the store starts anew. Longer pre-tokens aren't kept.
 CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
@@ -156,9 +155,12 @@ class RankedBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def load(path: str | None = None, pattern: str | None = None) -> RankedBpe:
     """The encoder of a rank file; by default the public multilingual one and its pattern."""
+    return kept_in_worker(("bpe", path, pattern), lambda: _load(path, pattern))
+
+
+def _load(path: str | None, pattern: str | None) -> RankedBpe:
     import public_tokenizers
 
     with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:

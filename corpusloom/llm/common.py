@@ -55,6 +55,20 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+_HELD: dict = {}
+
+
+def kept_in_worker(key: tuple, make):
+    """What a Python worker keeps between tasks: the tables of one operator at a time.
+
+    Workers serve one stage after another; without this, each would keep the tables of all of them.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column, concatenated, and n + 1 offsets; nulls are empty."""
     import pyarrow as pa

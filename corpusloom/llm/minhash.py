@@ -16,14 +16,13 @@ what two sets have in common.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix, small_batches, text_bytes, word_hashes
+from .common import kept_in_worker, materialize, mix, small_batches, text_bytes, word_hashes
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -73,9 +72,12 @@ def weighed(h: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return ((1 + np.log(count)) * idf[(h >> np.uint64(40)).astype(np.int64) & (FREQUENCIES - 1)]).astype(np.float32)
 
 
-@lru_cache(maxsize=1)
 def _draws(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """r, beta and ln c + r * beta - r, by row of the table and sample."""
+    return kept_in_worker(("minhash", samples, seed), lambda: _drawn(samples, seed))
+
+
+def _drawn(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     random = np.random.RandomState(seed)
     shape = (DRAWS, samples)
     r = random.gamma(2, 1, shape).astype(np.float32)
@@ -155,6 +157,7 @@ def frequencies(docs: DataFrame, text_col: str) -> np.ndarray:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kept_in_worker(("minhash",), dict)
         total, seen = np.zeros(FREQUENCIES, np.int64), 0
         for batch in batches:
             _, h, _ = shingles([text or "" for text in batch.column(0).to_pylist()])

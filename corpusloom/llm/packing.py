@@ -19,14 +19,13 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import kept_in_worker, materialize, small_batches
 
 CAPACITY, END_ID = 1024, 2
 #: How many groups the large lengths make, and from which part of the capacity down lengths are small. Each
@@ -68,11 +67,10 @@ class Encoder:
         return b"".join(map(self.ids.__getitem__, self.split(text)))
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str | None = None) -> Encoder:
     import public_tokenizers
 
-    return Encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
+    return kept_in_worker(("packing", path), lambda: Encoder(path or public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix, small_batches, text_bytes
+from .common import kept_in_worker, materialize, mix, small_batches, text_bytes
 from .run_index import match_lengths
 
 LENGTH = 200
@@ -113,6 +113,7 @@ def _cut(docs: DataFrame, length: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        kept_in_worker(("suffix_dedup",), dict)
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))

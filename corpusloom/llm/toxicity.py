@@ -9,14 +9,13 @@ uses a bounded sample of labelled rows and runs as one task; all texts are then
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import kept_in_worker, small_batches
 
 SIZES = (3, 4, 5, 6)
 #: Bits of a feature's hash.
@@ -109,8 +108,11 @@ def fit(texts: list[str], toxic: np.ndarray) -> tuple[float, np.ndarray, np.ndar
     return float(bias), chosen, w * scale
 
 
-@lru_cache(maxsize=1)
 def _table(model: tuple[float, tuple[int, ...], tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    return kept_in_worker(("toxicity", model), lambda: _dense(model))
+
+
+def _dense(model: tuple[float, tuple[int, ...], tuple[float, ...]]) -> tuple[np.ndarray, np.ndarray]:
     wanted, weight = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
     wanted[list(model[1])] = True
     weight[list(model[1])] = model[2]
