@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import kept_in_worker, materialize, mix, small_batches, text_bytes
 from .run_index import match_lengths
@@ -299,8 +298,8 @@ def _kept(text: bytes, ranges: list[dict] | None) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, spans
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with kept (binary: the bytes that stay), n_bytes, n_removed, n_spans.
+def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """``docs`` with kept (binary: the bytes that stay; with ``as_text`` their whole characters), n_bytes, n_removed, n_spans.
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else as well, in its own text
     too. Matches stay inside texts; a null text is empty. Rows may repeat, ids may be null. Columns named
@@ -321,10 +320,11 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
             k = batch.num_columns
             before = [expand(x) for x in batch.column(k - 2).to_pylist()]
             done = [_kept(text, own) for text, own in zip(before, batch.column(k - 1).to_pylist())]
-            columns = [pa.array([x[0] for x in done], pa.binary()), *(pa.array(x, pa.int64()) for x in (list(map(len, before)), [x[1] for x in done], [x[2] for x in done]))]
+            kept = pa.array([x[0].decode(errors="ignore") for x in done], pa.string()) if as_text else pa.array([x[0] for x in done], pa.binary())
+            columns = [kept, *(pa.array(x, pa.int64()) for x in (list(map(len, before)), [x[1] for x in done], [x[2] for x in done]))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: k - 2], *columns], schema.names)
 
-    schema = rows.drop("packed", "ranges").withColumn("kept", F.lit(b"")).withColumns({c: F.lit(0).cast("long") for c in ("n_bytes", "n_removed", "n_spans")}).schema
+    schema = rows.drop("packed", "ranges").withColumn("kept", F.lit("" if as_text else b"")).withColumns({c: F.lit(0).cast("long") for c in ("n_bytes", "n_removed", "n_spans")}).schema
     return rows.mapInArrow(run, schema)
 
 
@@ -333,22 +333,13 @@ def trimmed(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> Da
 
     Every row stays; a null text stays null.
     """
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = [None if null else kept.decode(errors="ignore") for kept, null in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[2:]], names)
-
     others = [c for c in docs.columns if c != text_col]
     safe = {c: f"_own{i}" for i, c in enumerate(others)}
     own = docs.select(F.col(text_col).isNull().alias("_null"), *(F.col(c).alias(safe[c]) for c in others), F.col(text_col).alias("text"))
-    done = without_repeats(own, "text", length).select("kept", "_null", *safe.values())
-    names = ["text", *safe.values()]
-    out = done.mapInArrow(run, T.StructType([T.StructField("text", T.StringType()), *(done.schema[c] for c in safe.values())]))
-    back = {v: k for k, v in safe.items()} | {"text": text_col}
-    out = out.select(*(F.col(c).alias(back[c]) for c in names))
+    done = without_repeats(own, "text", length, as_text=True)
+    # decoded where it is cut: a second step in Python would keep a second worker for each task
+    text = F.when(~F.col("_null"), F.col("kept")).alias(text_col)
+    out = done.select(text, *(F.col(v).alias(k) for k, v in safe.items()))
     return out.select(*docs.columns)
 
 
