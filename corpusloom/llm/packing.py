@@ -32,7 +32,7 @@ CAPACITY, END_ID = 1024, 2
 #: takes milliseconds, so all are tried, and the one with the fewest sequences is taken.
 SETTINGS = tuple((groups, small) for groups in (8192, 1024, 65536) for small in (8, 2, 3, 4, 6, 16))
 #: Pre-tokens kept with their ids in a worker; beyond, the store starts anew. Longer pre-tokens aren't kept.
-CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
 
 
 class _Ids(dict):
