@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: the blank and \t..\r.
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
@@ -20,41 +24,94 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one, but only on a local master."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+_STORED: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage in storage that outlives any executor. The files go when the driver ends.
+    This cuts the lineage in storage that outlives any executor. The files go with ``discard``, or when the
+    driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STORED[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` made and that nothing will read any more."""
+    for table in tables:
+        if path := getattr(table, "_stored", None):
+            _remove(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
+def _remove(path: str) -> None:
+    spark = _STORED.pop(path, None)
+    if spark is None or spark.sparkContext._jsc is None:
         return
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_STORED):
+        _remove(path)
+
+
+def located(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` of ``df``, with ``file`` and ``row``: where each row stands in the files it is read from.
+
+    A frame that isn't read straight from files is written to the shared folder first.
+    """
+
+    def placed(of: DataFrame) -> DataFrame:
+        place = of.metadataColumn("_metadata")
+        return of.select(*columns, F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row"))
+
+    try:
+        return placed(df)
+    except AnalysisException:
+        return placed(materialize(df))
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Hold the Arrow batches that Python workers get to ``rows`` rows and 8 MB, so that long texts fit."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def in_groups(texts: list[str], chars: int = 1 << 17) -> Iterator[tuple[int, list[str]]]:
+    """``texts`` in groups of about ``chars`` characters, each with the place of its first text.
+
+    Arrays over a group stay small; a text that is longer is a group of its own.
+    """
+    begin, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > chars:
+            yield begin, texts[begin:i]
+            begin, size = i, 0
+        size += len(text)
+    if begin < len(texts):
+        yield begin, texts[begin:]
+
+
 _HELD: dict = {}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,6 +23,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         above = labels.select(F.col("node").alias("hooked"), F.col("label").alias("above"))
         new = hooked.join(above, "hooked", "left").select("node", F.least("hooked", "above").alias("label"), F.col("label").alias("was"))
         new = materialize(new)
-        labels = new.select("node", "label")
+        discard(labels)
+        labels = new
         if new.where("label <> was").isEmpty():
-            return labels
+            discard(edges)
+            break
+    out = labels.select("node", "label")
+    out._stored = labels._stored
+    return out
