@@ -2,7 +2,7 @@
 
 Candidate strings go through a sliding window. The window keeps a count of each character and the sum of
 c * log2(c) over the counts; a step changes two counts and adds the difference of their terms, so that the
-Shannon entropy of every window costs a few operations. What counts as high depends on the class of
+Shannon entropy of every window costs a few operations, however long the string is. What counts as high depends on the class of
 characters the string is made of. An allow-list names harmless strings. Only DataFrame functions are used,
 and all of a document's work stays in its row.
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +47,9 @@ CLASSES = (
     CharacterClass("alphanumeric", r"^[A-Za-z0-9]+$", 3.7),
     CharacterClass("base64", r"^.*$", 3.9),
 )
-#: Harmless strings: samples and fillers, version and date names, and UUIDs, which are no keys.
-ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,}|0{8,}|12345678|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^([a-z]+[-_/])+[0-9]{1,8}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+#: Harmless strings: samples and fillers, version and date names, and UUIDs, which are no keys. A group that
+#: repeats is possessive, so that it takes a loop, not a call for each turn.
+ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,}|0{8,}|12345678|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^(?:[a-z]++[-_/])++[0-9]{1,8}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 _BLOCK = 512
 
 
@@ -83,51 +86,73 @@ def _placed(kind: int, least: int) -> Column:
     return F.when(F.size(match) > 0, kept).otherwise(none)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` worked out once and not wherever it occurs."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def peak_terms(found: Column, window: int = WINDOW) -> Column:
     """The least sum of c * log2(c) over the windows of a string of ASCII characters, in millionths.
 
     The entropy of that window, log2(window) - sum / window, is the greatest. A shorter string is one window.
+    The counts are a string of 128 characters, one for each code, of which a step replaces two.
     """
     term = F.array(*(F.lit(round(SCALE * c * math.log2(c)) if c else 0).cast("long") for c in range(window + 1)))
-    chars = F.split(found, "")
-    code = lambda i: F.ascii(F.get(chars, i))
-    count = lambda s, c: F.get(s["n"], c)
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("best"))
+    none = 48  # the character that stands for a count of 0
+    codes = F.transform(F.split(found, ""), lambda c: F.ascii(c))
+    count = lambda n, c: F.ascii(F.substr(n, c + 1, F.lit(1))) - none
+    put = lambda n, c, value: F.overlay(n, F.char(value + none), c + 1, 1)
+    start = F.struct(F.lit(chr(none) * 128).alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("best"))
+
+    def least(codes: Column) -> Column:
+        size = F.size(codes)
+
+        def left(s, i):
+            """The counts and the sum once the character that falls out has gone."""
+            old = F.get(codes, i - window)
+            gone = _bound(count(s["n"], old), lambda c: F.struct(put(s["n"], old, c - 1).alias("n"), (s["sum"] + F.get(term, c - 1) - F.get(term, c)).alias("sum")))
+            return F.when(i >= window, gone).otherwise(F.struct(s["n"].alias("n"), s["sum"].alias("sum")))
+
+        def joined(x, s, i):
+            new = F.get(codes, i)
+            full = (i >= window - 1) | (i == size - 1)
+
+            def added(c):
+                total = x["sum"] + F.get(term, c + 1) - F.get(term, c)
+                return F.struct(put(x["n"], new, c + 1).alias("n"), total.alias("sum"), F.when(full, F.least(s["best"], total)).otherwise(s["best"]).alias("best"))
+
+            return _bound(count(x["n"], new), added)
 
-    def step(s, i):
-        new, old = code(i), F.when(i >= window, code(i - window)).otherwise(F.lit(-1))
-        # first the old character leaves, then the new one comes
-        left = F.when(old >= 0, F.get(term, count(s, old) - 1) - F.get(term, count(s, old))).otherwise(F.lit(0).cast("long"))
-        there = count(s, new) - F.when(old == new, 1).otherwise(0)
-        total = s["sum"] + left + F.get(term, there + 1) - F.get(term, there)
-        counts = F.transform(s["n"], lambda n, c: n + F.when(c == new, 1).otherwise(0) - F.when(c == old, 1).otherwise(0))
-        full = (i >= window - 1) | (i == F.char_length(found) - 1)
-        return F.struct(counts.alias("n"), total.alias("sum"), F.when(full, F.least(s["best"], total)).otherwise(s["best"]).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), size - 1), start, lambda s, i: _bound(left(s, i), lambda x: joined(x, s, i)), lambda s: s["best"])
 
-    places = F.sequence(F.lit(0), F.char_length(found) - 1)
-    return F.aggregate(places, start, step, lambda s: s["best"])
+    return _bound(codes, least)
 
 
 def high_entropy(found: Column, classes: tuple[CharacterClass, ...] = CLASSES, window: int = WINDOW) -> Column:
     """Whether some window of a string mixes its characters as its class of characters seldom does."""
-    plain = F.regexp_replace(found, "=+$", "")
-    bits = F.lit(None).cast("double")
-    for kind in reversed(classes):
-        bits = F.when(plain.rlike(kind.pattern), F.lit(kind.bits)).otherwise(bits)
-    most = F.floor((F.lit(math.log2(window)) - bits) * window * SCALE)
-    return peak_terms(plain, window) <= most
 
 
-def scanned(docs: DataFrame, text_col: str = "text", allowed: str = ALLOWED) -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: arrays of (start, kind, end, found), by start, then kind.
+    def judged(plain: Column) -> Column:
+        bits = F.lit(None).cast("double")
+        for kind in reversed(classes):
+            bits = F.when(plain.rlike(kind.pattern), F.lit(kind.bits)).otherwise(bits)
+        most = F.floor((F.lit(math.log2(window)) - bits) * window * SCALE)
+        return peak_terms(plain, window) <= most
 
-    Places count code points, ends are exclusive. ``kind`` is the place in KNOWN, or 3 for high entropy.
-    Known forms always stay; a string that is found by its entropy only must not fit ``allowed`` nor lie
-    inside a known form. A null or empty text has no spans. Rows are judged alone. Input columns that are
-    named base or spans or begin with ``_`` are replaced or dropped, but for the text.
-    """
-    own = [c for c in docs.columns if c not in ("base", "spans") and (c == text_col or not c.startswith("_"))]
-    df = docs.select(*own, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_scan"))
+    return _bound(F.regexp_replace(found, "=+$", ""), judged)
+
+
+def _inside(x: Column, spans: Column) -> Column:
+    """Whether one of ``spans``, which don't overlap and are in order, holds the span ``x``."""
+    powers = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    # how many start no later, by halving
+    step = lambda at, p: F.when(F.coalesce(F.get(spans, at + p - 1)["start"] <= x["start"], F.lit(False)), at + p).otherwise(at)
+    return F.coalesce(F.get(spans, F.aggregate(powers, F.lit(0), step) - 1)["end"] >= x["end"], F.lit(False))
+
+
+def _scanned(docs: DataFrame, text_col: str, allowed: str) -> DataFrame:
+    """``own`` (a struct of the row as it came), base and spans."""
+    df = docs.select(F.struct(*docs.columns).alias("own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_scan"))
     # only runs of the measured length can count for kinds whose measured group is the whole match
     forms = [(p if group else p[:-1] + f"{{{least - (4 if p.startswith('AKIA') else 0)},}}", group, least) for _, p, group, least in KNOWN]
     forms.append((CANDIDATE, 0, 0))
@@ -135,11 +160,24 @@ def scanned(docs: DataFrame, text_col: str = "text", allowed: str = ALLOWED) ->
     df = df.withColumns(dict(x["has"] for x in steps))
     df = df.withColumns(dict(x[k] for x in steps for k in ("match", "group", "gap")))
     df = df.withColumns({f"_placed{kind}": _placed(kind, least) for kind, (_, _, least) in enumerate(forms)})
-    df = df.withColumn("base", F.array_sort(F.concat("_placed0", "_placed1", "_placed2")))
-    inside = lambda x: F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
-    new = F.filter("_placed3", lambda x: ~x["found"].rlike(allowed) & ~inside(x))
-    df = df.withColumn("_new", F.filter(new, lambda x: high_entropy(x["found"])))
-    return df.withColumn("spans", F.when(F.size("_new") > 0, F.array_sort(F.concat("base", "_new"))).otherwise(F.col("base"))).select(*own, "base", "spans")
+    df = df.withColumn("base", F.sort_array(F.concat("_placed0", "_placed1", "_placed2")))
+    places = F.struct(*(F.col(f"_placed{kind}").alias(f"k{kind}") for kind in range(len(KNOWN))))
+    new = lambda known: F.filter("_placed3", lambda x: ~x["found"].rlike(allowed) & ~reduce(or_, (_inside(x, known[f"k{kind}"]) for kind in range(len(KNOWN)))))
+    df = df.withColumn("_new", F.when(F.size("_placed3") > 0, F.filter(_bound(places, new), lambda x: high_entropy(x["found"]))).otherwise(F.col("_placed3")))
+    return df.select("own", "base", F.when(F.size("_new") > 0, F.sort_array(F.concat("base", "_new"))).otherwise(F.col("base")).alias("spans"))
+
+
+def scanned(docs: DataFrame, text_col: str = "text", allowed: str = ALLOWED) -> DataFrame:
+    """``docs`` with ``base`` and ``spans``: arrays of (start, kind, end, found), by start, then kind.
+
+    Places count code points, ends are exclusive. ``kind`` is the place in KNOWN, or 3 for high entropy.
+    Known forms always stay; a string that is found by its entropy only must not fit ``allowed`` nor lie
+    inside a known form. A null or empty text has no spans, an empty table no rows. Whole texts are searched,
+    however long; the work grows in proportion. Rows are judged alone, so ids and whole rows may repeat or be
+    null. Input columns named base or spans are replaced; all others stay.
+    """
+    found = _scanned(docs, text_col, allowed)
+    return found.select(*(F.col("own")[c].alias(c) for c in docs.columns if c not in ("base", "spans")), "base", "spans")
 
 
 def written(spans: str) -> Column:
@@ -149,22 +187,37 @@ def written(spans: str) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
-def redacted(docs: DataFrame, text_col: str = "text", marker: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, text_col: str = "text", marker: str = "[SECRET]", allowed: str = ALLOWED) -> DataFrame:
     """``docs`` with each found stretch of the text replaced by ``marker``; overlapping spans are one stretch.
 
-    Texts without spans, nulls among them, stay as they are.
+    Texts without spans, nulls among them, stay as they are, and so do all other columns, whatever their names.
     """
-    found = scanned(docs, text_col)
-    text = F.col(text_col).cast("string")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s, x):
-        apart = x["start"] >= s["at"]
-        out = F.when(apart, F.concat(s["out"], F.substr(text, s["at"] + 1, x["start"] - s["at"]), F.lit(marker))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
-
-    whole = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.char_length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, whole).otherwise(text)).select(*(c for c in docs.columns if c in found.columns and c not in ("base", "spans")))
+    found = _scanned(docs, text_col, allowed)
+    text = F.col("own")[text_col].cast("string")
+    # the end of what came before, for each span; blocks keep the work in proportion to the spans
+    last = lambda spans: F.aggregate(spans, F.lit(0), lambda at, x: F.greatest(at, x["end"]))
+
+    def parts(before: Column, spans: Column) -> Column:
+        """The text from ``before`` to the end of ``spans``, cut out first, since places are counted from its start."""
+        start = F.struct(before.alias("at"), F.lit("").alias("out"))
+
+        def joined(own: Column) -> Column:
+            def step(s, x):
+                apart = (x["start"] >= s["at"]) | (x["start"] == 0)
+                out = F.when(apart, F.concat(s["out"], F.substr(own, s["at"] - before + 1, x["start"] - s["at"]), F.lit(marker))).otherwise(s["out"])
+                return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+
+            return F.aggregate(spans, start, step, lambda s: s["out"])
+
+        return _bound(F.substr(text, before + 1, F.greatest(last(spans) - before, F.lit(0))), joined)
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size("spans"), F.lit(1)), F.lit(_BLOCK))
+    blocks = F.transform(starts, lambda i: F.slice("spans", i, F.lit(_BLOCK)))
+    grow = lambda at, b: F.concat(at, F.array(F.greatest(F.element_at(at, -1), last(b))))
+    ends = lambda own: F.aggregate(own, F.array(F.lit(0)), grow)
+    whole = _bound(blocks, lambda own: _bound(ends(own), lambda at: F.concat(F.array_join(F.zip_with(own, F.slice(at, F.lit(1), F.size(own)), lambda b, e: parts(e, b)), ""), F.substr(text, F.element_at(at, -1) + 1, F.char_length(text)))))
+    new = F.when(F.size("spans") > 0, whole).otherwise(text).alias(text_col)
+    return found.select(*(new if c == text_col else F.col("own")[c].alias(c) for c in docs.columns))
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
