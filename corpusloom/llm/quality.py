@@ -83,13 +83,26 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
 def judged(docs: DataFrame, bucket_weights: list[int], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
-    A null text has no words. ``score`` is the length-normalised ratio in nats for an n-gram. Each row is
-    judged alone: ids may repeat or be null. Input columns with these names or that begin with ``_`` are
-    replaced or dropped.
+    A null or empty text has no words and fails; whole texts are read, however long. ``score`` is the
+    length-normalised ratio in nats for an n-gram. Each row is judged alone: ids may repeat or be null, and equal
+    rows have equal results. An empty table gives no rows. Input columns with the names of results are replaced.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
-    own = [c for c in docs.columns if c not in made and (c == text_col or not c.startswith("_"))]
-    df = _hashed(docs.select(*own, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")), "_text")
+    found = _judged(docs, bucket_weights, text_col, threshold)
+    return found.select(*(F.col("own")[c].alias(c) for c in docs.columns if c not in MADE), *MADE)
+
+
+def kept_rows(docs: DataFrame, bucket_weights: list[int], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Those rows of ``docs`` that are kept, as they came; columns may have any names."""
+    found = _judged(docs, bucket_weights, text_col, threshold).where("kept")
+    return found.select(*(F.col("own")[c].alias(c) for c in docs.columns))
+
+
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
+def _judged(docs: DataFrame, bucket_weights: list[int], text_col: str, threshold: float) -> DataFrame:
+    """``own`` (a struct of the row as it came) and the results."""
+    df = _hashed(docs.select(F.struct(*docs.columns).alias("own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")), "_text")
     # runs of WINDOW words, from pairs of pairs
     df = df.withColumn("_h4", F.zip_with(_head("_h2", 2), _tail("_h2", 2), lambda a, b: F.xxhash64(a, b)))
     df = df.withColumn("_h5", F.zip_with(_head("_h4", 1), _tail("_h1", 4, F.greatest(F.size("_h4") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
@@ -127,7 +140,7 @@ def judged(docs: DataFrame, bucket_weights: list[int], text_col: str = "text", t
     good = ~F.col("base_failed") & (F.col("_sum") >= F.lit(round(SCALE * threshold)) * F.col("_grams"))
     # always true; it keeps a filter on the verdict above the steps, where it would work each of them out again
     df = df.withColumn("kept", good & (F.monotonically_increasing_id() >= 0))
-    return df.select(*own, *made[:6], (F.col("_sum") / F.col("_grams") / SCALE).alias("score"), "kept")
+    return df.select("own", *MADE[:6], (F.col("_sum") / F.col("_grams") / SCALE).alias("score"), "kept")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -135,11 +148,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min("quality").alias("_quality")).where("_quality = 1").select("doc_id")
 
 
-def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` judged by weights learnt from themselves, with the labelled ones as target."""
+def learnt(spark, docs: DataFrame, sf_dir: str) -> list[int]:
+    """Weights from ``docs`` themselves, with those that are labelled good as target."""
     from .common import read
 
-    return judged(docs, weights(docs, trusted_ids(read(spark, sf_dir, "labels"))))
+    return weights(docs, trusted_ids(read(spark, sf_dir, "labels")))
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -147,7 +160,7 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules(spark, docs, sf_dir).drop("text")
+    return judged(docs, learnt(spark, docs, sf_dir)).drop("text")
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}
