@@ -1,6 +1,8 @@
 """From raw documents to packed sequences: each stage works on what the one before has kept.
 
-Every stage takes (spark, docs, sf_dir). All but the last return rows with the columns of ``documents``.
+Every stage takes (spark, docs, sf_dir). All but the last return rows with the columns of ``docs``, which are
+those of ``documents``. Stages go by rows: ids may repeat or be null, equal rows are treated alike, columns that
+a stage doesn't know pass through whatever their names, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.quality_rules(spark, docs, sf_dir).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep. Null and empty texts go; weights come from all of ``docs``."""
+    return quality.kept_rows(docs, quality.learnt(spark, docs, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates: the least id. Different documents with one id all stay."""
     return minhash.representatives(docs)
 
 
@@ -34,11 +36,11 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets blotted out. All documents stay."""
-    return _counted(secret_scan.redacted(docs)).select(*docs.columns)
+    return _counted(secret_scan.redacted(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences."""
+    """The pieces of the documents and their places in sequences. A null text is empty: one piece."""
     return packing.placed(packing.pieces(docs))
 
 
