@@ -18,11 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept_in_worker, small_batches
+from .common import ByWords, Kept, kept_in_worker, small_batches
 
-#: Pre-tokens kept with their ids in a worker; beyond, the store starts anew. Longer pre-tokens aren't kept.
-CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
-PAIR_ENTRIES = 1_000_000
+#: Words kept with their ids in a worker; pairs of parts kept with their ranks.
+CACHE_ENTRIES, PAIR_ENTRIES = 400_000, 1_000_000
 
 
 class RankBitmap:
@@ -68,35 +67,24 @@ class _Pairs(dict):
         return found
 
 
-class _Packed(dict):
-    """The ids of a pre-token as native 32-bit integers; encoded when first asked for."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        found = np.array(self.encode(piece.encode()), np.int32).tobytes()
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = found
-        return found
-
-
 class RankedBpe:
     """Encoder and decoder for the vocabulary ``ranks``: bytes to rank; every single byte has a rank."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import public_tokenizers
         import regex
 
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.split = regex.compile(pattern).findall
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.bitmap = RankBitmap(max(ranks.values()) + 1)
         self.buckets: dict[int, list[int]] = {}
         self.pairs = _Pairs(ranks, self.tokens)
-        self.packed = _Packed(self.encode_piece)
+        packed = Kept(lambda piece: np.array(self.encode_piece(piece.encode()), np.int32).tobytes(), CACHE_ENTRIES)
+        split = regex.compile(pattern).findall
+        whole = lambda text: b"".join(map(packed.__getitem__, split(text)))
+        # other patterns may join what the public one keeps apart
+        self.coded = ByWords(whole, whole, CACHE_ENTRIES) if pattern == public_tokenizers.PATTERN else whole
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: least rank first, leftmost among equals."""
@@ -148,7 +136,7 @@ class RankedBpe:
         return [x for x in part if x >= 0]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.packed.__getitem__, self.split(text))), np.int32)
+        return np.frombuffer(self.coded(text), np.int32)
 
     def decode(self, ids) -> bytes:
         """The bytes of ``ids``; an id without a token raises KeyError."""

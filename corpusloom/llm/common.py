@@ -6,7 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -126,6 +126,60 @@ def kept_in_worker(key: tuple, make):
     return _HELD[key]
 
 
+class Kept(dict):
+    """What ``make`` gives for a string, kept for strings of up to ``chars`` characters.
+
+    Beyond ``entries`` of them the store starts anew.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], entries: int, chars: int = 48):
+        self.make, self.entries, self.chars = make, entries, chars
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.make(text)
+        if len(text) <= self.chars:
+            if len(self) >= self.entries:
+                self.clear()
+            self[text] = found
+        return found
+
+
+class ByWords:
+    """Encodes texts word by word, for byte-level encoders that cut texts by the public pattern.
+
+    The pattern never joins what stands on either side of a blank or a line feed between two characters that
+    aren't white space: a blank begins a new piece, and a line feed is a piece of its own. So words with the
+    blank before them can be encoded alone and kept. ``piece`` encodes one piece of the pattern, ``whole`` any text;
+    texts with other white space go to the latter.
+    """
+
+    def __init__(self, piece: Callable[[str], bytes], whole: Callable[[str], bytes], entries: int):
+        kept = Kept(piece, entries)
+
+        def coded(word: str, blank: str = "") -> bytes:
+            if word.isalpha():
+                return kept[blank + word]
+            if word[-1] in ",.;:!?" and word[:-1].isalpha():
+                return kept[blank + word[:-1]] + kept[word[-1]]
+            return whole(blank + word)
+
+        self.whole, self.feed = whole, kept["\n"]
+        self.first, self.later = Kept(coded, entries // 8), Kept(lambda word: coded(word, " "), entries)
+
+    def __call__(self, text: str) -> bytes:
+        out = []
+        for line in text.split("\n"):
+            # what isn't printable may be other white space
+            if not line or line[0] == " " or line[-1] == " " or "  " in line or not line.isprintable():
+                return self.whole(text)
+            head, *tail = line.split(" ")
+            out.append(self.first[head])
+            out.extend(map(self.later.__getitem__, tail))
+            out.append(self.feed)
+        out.pop()
+        return b"".join(out)
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column, concatenated, and n + 1 offsets; nulls are empty."""
     import pyarrow as pa

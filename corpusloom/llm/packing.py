@@ -5,10 +5,12 @@ the histogram of the lengths alone, which has as many rows as a sequence has tok
 
 1. Large lengths, in falling order, are cut into groups of equal cardinality, and each is rounded up to the
    greatest of its group, so that no more sizes than groups remain.
-2. Configurations of these sizes are chosen: the largest size that is left, filled up with what leaves the
-   least room, as often as the sizes' counts allow.
+2. Configurations, multisets of these sizes that fill a sequence, are optimised: a linear programme asks for
+   the fewest sequences that hold all, and its columns are priced by a knapsack, so that only configurations
+   that help are ever looked at. Few sizes make it small. Each is used as often as its whole part says.
 3. The rounded sizes give way to the actual lengths of their groups.
-4. Small lengths go where they fit best, then into new sequences.
+4. Small lengths, and the few large ones that whole parts leave over, go where they fit best, longest first,
+   then into new sequences.
 
 The outcome says how many sequences hold which lengths. The n-th document of a length takes the n-th place
 for that length.
@@ -16,6 +18,8 @@ for that length.
 
 from __future__ import annotations
 
+import json
+import math
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -25,46 +29,59 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept_in_worker, materialize, small_batches
+from .common import ByWords, Kept, kept_in_worker, materialize, small_batches
 
 CAPACITY, END_ID = 1024, 2
-#: How many groups the large lengths make, and from which part of the capacity down lengths are small. Each
-#: takes milliseconds, so all are tried, and the one with the fewest sequences is taken.
-SETTINGS = tuple((groups, small) for groups in (8192, 1024, 65536) for small in (8, 2, 3, 4, 6, 16))
-#: Pre-tokens kept with their ids in a worker; beyond, the store starts anew. Longer pre-tokens aren't kept.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+#: How many groups the large lengths make, and from which part of the capacity down lengths are small. All are
+#: tried, and the one with the fewest sequences is taken.
+SETTINGS = ((64, 2), (64, 3), (32, 4))
+#: Columns that are priced at most; with fewer than the best ones, the programme's outcome is still a packing.
+COLUMNS = 600
+#: Words kept with their ids in a worker.
+CACHE_ENTRIES = 400_000
 
 
-class _Ids(dict):
-    """The ids of a pre-token as little-endian unsigned 32-bit integers; encoded when first asked for."""
+def byte_letters() -> dict[str, str]:
+    """The printable character that byte-level vocabularies write for each byte, given as a Latin-1 character.
+
+    Printable bytes stand for themselves; the others follow from 256 on.
+    """
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): chr(b) for b in plain} | {chr(b): chr(256 + i) for i, b in enumerate(others)}
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
 
-    def __missing__(self, piece: str) -> bytes:
-        found = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = found
-        return found
+#: What a byte-level pre-tokenizer makes of "a b'll 1".
+BYTE_LEVEL = [("a", (0, 1)), ("Ġb", (1, 3)), ("'ll", (3, 6)), ("Ġ1", (6, 8))]
 
 
 class Encoder:
-    """Ids of whole texts, by the tokenizer file; a pre-token's ids don't depend on what stands around it."""
+    """Ids of whole texts as little-endian unsigned 32-bit integers, as the tokenizer file gives them.
 
-    def __init__(self, path: str):
+    Without special tokens being added; their strings in a text are their ids, unless ``plain``.
+    """
+
+    def __init__(self, path: str, plain: bool = False):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.ids = _Ids(tokenizer)
+        tokenizer.encode_special_tokens = plain
+        self.added = () if plain else tuple(x.content for x in tokenizer.get_added_tokens_decoder().values())
+        self.encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        model, pattern = tokenizer.model, regex.compile(public_tokenizers.PATTERN)
+        if json.loads(tokenizer.to_str())["normalizer"] is None and tokenizer.pre_tokenizer.pre_tokenize_str("a b'll 1") == BYTE_LEVEL:
+            # the model's own form of one piece: a character for each byte
+            letters = {ord(k): v for k, v in byte_letters().items()}
+            piece = lambda text: np.array([x.id for x in model.tokenize(text.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
+            pieces = Kept(piece, CACHE_ENTRIES)
+            self.by_words = ByWords(piece, lambda text: b"".join(map(pieces.__getitem__, pattern.findall(text))), CACHE_ENTRIES)
+        else:
+            self.by_words = self.encode
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.ids.__getitem__, self.split(text)))
+        return self.encode(text) if any(x in text for x in self.added) else self.by_words(text)
 
 
 def encoder(path: str | None = None) -> Encoder:
@@ -142,36 +159,65 @@ def grouped(counts: dict[int, int], groups: int) -> list[tuple[int, list[tuple[i
     return out
 
 
-def _filling(sizes: list[int], left: list[int], first: int, capacity: int) -> list[tuple[int, int]]:
-    """The configuration with one of size ``first`` that leaves the least room: (place in sizes, how many)."""
-    room = capacity - sizes[first]
-    reach, trail = 1, []
-    mask = (1 << (room + 1)) - 1
-    for k in range(first, len(sizes)):
-        size = sizes[k]
-        most = min(left[k] - (k == first), room // size)
-        if most <= 0:
-            continue
-        before = reach
-        for _ in range(most):
-            grown = (reach | before << size) & mask if most == 1 else (reach | reach << size) & mask
-            if grown == reach:
-                break
-            reach = grown
-        if reach != before:
-            trail.append((k, before, most))
-            if reach >> room & 1:
-                break
-    at = reach.bit_length() - 1
-    out = {first: 1}
-    for k, before, most in reversed(trail):
-        n = 0
-        while not before >> at & 1:
-            at -= sizes[k]
-            n += 1
-        if n:
-            out[k] = out.get(k, 0) + n
-    return sorted(out.items())
+def _best_column(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration that is worth most: its worth, and how many of each size it holds."""
+    worth, chosen = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for room in range(int(sizes.min()), capacity + 1):
+        fits = np.flatnonzero(sizes <= room)
+        total = worth[room - sizes[fits]] + value[fits]
+        best = int(total.argmax())
+        if total[best] > worth[room - 1]:
+            worth[room], chosen[room] = total[best], fits[best]
+        else:
+            worth[room] = worth[room - 1]
+    column, room = np.zeros(len(sizes)), capacity
+    while room > 0:
+        if chosen[room] < 0:
+            room -= 1
+        else:
+            column[chosen[room]] += 1
+            room -= sizes[chosen[room]]
+    return float(worth[capacity]), column
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int, columns: int = COLUMNS) -> list[tuple[int, list[tuple[int, int]]]]:
+    """How often to use which configuration: [(times, [(place in sizes, how many)])].
+
+    The basic solution of the linear programme of fewest sequences that hold ``demand``, by column generation;
+    times are its whole parts, so some of the demand may be left. Nothing is used beyond the demand.
+    """
+    m = len(sizes)
+    if not m:
+        return []
+    size = np.array(sizes, np.int64)
+    each = (capacity // size).astype(float)
+    basis, inverse = np.diag(each), np.diag(1 / each)
+    # a little more of each breaks ties, so that no two bases are equally good
+    want = np.array(demand, float)
+    want += (np.arange(m) + 1) * 1e-7 * want.max()
+    for turn in range(columns):
+        worth, column = _best_column(size, inverse.sum(axis=0), capacity)
+        if worth <= 1 + 1e-9:
+            break
+        direction, now = inverse @ column, inverse @ want
+        ratio = np.where(direction > 1e-9, now / np.where(direction > 1e-9, direction, 1), np.inf)
+        out = int(ratio.argmin())
+        basis[:, out] = column
+        pivot = inverse[out] / direction[out]
+        inverse -= np.outer(direction, pivot)
+        inverse[out] = pivot
+        if turn % 100 == 99:
+            inverse = np.linalg.inv(basis)  # what rounding has added up
+    often = np.linalg.solve(basis, np.array(demand, float))
+    left, found = list(demand), []
+    for j in np.argsort(-often, kind="stable").tolist():
+        held = [(k, int(n)) for k, n in enumerate(np.rint(basis[:, j])) if n > 0]
+        times = min([math.floor(often[j] + 1e-6), *(left[k] // n for k, n in held)])
+        if times > 0:
+            found.append((times, held))
+            for k, n in held:
+                left[k] -= n * times
+    return found
 
 
 def packed(counts: dict[int, int], capacity: int = CAPACITY, settings=SETTINGS) -> list[tuple[int, tuple[int, ...]]]:
@@ -191,18 +237,11 @@ def grouped_packing(counts: dict[int, int], capacity: int, groups: int, small: i
     limit = capacity // small
     found = grouped({x: n for x, n in counts.items() if x > limit}, groups)
     sizes, queues = [x for x, _ in found], [list(reversed(members)) for _, members in found]
-    left = [sum(n for _, n in members) for _, members in found]
+    demand = [sum(n for _, n in members) for _, members in found]
     classes: list[tuple[int, tuple[int, ...]]] = []
-    first = 0
-    while first < len(sizes):
-        if not left[first]:
-            first += 1
-            continue
-        chosen = _filling(sizes, left, first, capacity)
-        times = min(left[k] // n for k, n in chosen)
+    rest = {x: n for x, n in counts.items() if x <= limit}
+    for times, chosen in configurations(sizes, demand, capacity):
         slots = [k for k, n in chosen for _ in range(n)]
-        for k, n in chosen:
-            left[k] -= n * times
         # each slot takes the next actual lengths of its group
         runs = []
         for k in slots:
@@ -223,11 +262,14 @@ def grouped_packing(counts: dict[int, int], capacity: int, groups: int, small: i
                 run[-1][1] -= n
                 if not run[-1][1]:
                     run.pop()
-    return _best_fit(classes, {x: n for x, n in counts.items() if x <= limit}, capacity)
+    for queue in queues:
+        for length, n in queue:
+            rest[length] = rest.get(length, 0) + n
+    return _best_fit(classes, rest, capacity)
 
 
 def _best_fit(classes: list[tuple[int, tuple[int, ...]]], counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """``classes`` with the small lengths, longest first, each where it leaves the least room."""
+    """``classes`` with the lengths in ``counts``, longest first, each where it leaves the least room."""
     by_room: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
     for n, held in classes:
         by_room.setdefault(capacity - sum(held), []).append((n, held))
