@@ -1,10 +1,11 @@
 """A run-length index of one text: Burrows-Wheeler transform by runs, samples at run ends, match lengths.
 
-The suffixes of the text are sorted by prefix doubling. Of the transform only the runs count: in repetitive
-text they are few. The longest common prefix of neighbouring suffixes is compared out for the heads of runs
-alone, the samples; from the text position of a sample on, each next position that is no sample has one less.
-Streaming over the text so gives every position's longest match with its neighbours in suffix order, which
-are the longest there are.
+The suffixes of the text are sorted once, by prefix doubling, and forgotten once the index stands. The index
+keeps the transform by its runs, of which repetitive text has few, and for the first and the last place of each
+run a sample: where in the text its suffix starts, and how long a prefix it shares with its neighbour outside
+the run. From a sampled position on, the text is streamed: the suffix that starts one byte later has one byte
+less in common with its own neighbour, until the next sample. A position's longest match anywhere else is the
+longer of those with its two neighbours.
 """
 
 from __future__ import annotations
@@ -51,14 +52,6 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         width *= 2
 
 
-def run_heads(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Whether each place in suffix order is the first of a run of the Burrows-Wheeler transform."""
-    before = np.where(order > 0, text[order - 1].astype(np.int16), -1)
-    heads = np.ones(len(order), bool)
-    heads[1:] = before[1:] != before[:-1]
-    return heads
-
-
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lengths of the longest common prefixes of pairs of suffixes."""
     n, step = len(text), 16
@@ -80,23 +73,56 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+class RunIndex:
+    """The index of ``text``, a byte array. All it keeps grows with the runs, but for the text itself."""
+
+    def __init__(self, text: np.ndarray):
+        self.size = n = len(text)
+        order, _ = suffix_order(text)
+        before = np.where(order > 0, text[order - 1].astype(np.int16), -1)
+        heads = np.flatnonzero(np.append(True, before[1:] != before[:-1])) if n else np.zeros(0, np.int64)
+        tails = np.append(heads[1:], n)[: len(heads)] - 1
+        # the transform itself begins with the byte before the empty suffix
+        every = np.append(text[-1:].astype(np.int16), before)
+        runs = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if n else heads
+        #: The byte of each run, -1 for the end of the text, and the run's length.
+        self.symbols, self.lengths = every[runs], np.diff(np.append(runs, len(every)))
+        self.above = self._samples(text, order, heads, -1)
+        self.below = self._samples(text, order, tails, 1)
+
+    @staticmethod
+    def _samples(text: np.ndarray, order: np.ndarray, places: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """The text positions of sampled suffixes, in order, and what they share with the next in ``step``."""
+        at, other = order[places], places + step
+        inside = (other >= 0) & (other < len(order))
+        shared = np.zeros(len(places), np.int64)
+        shared[inside] = _common(text, at[inside], order[other[inside]])
+        by = np.argsort(at)
+        return at[by], shared[by]
+
+    def matches(self, begin: int, end: int) -> np.ndarray:
+        """The longest match elsewhere of what starts at each position from ``begin`` to before ``end``."""
+        stream = np.arange(begin, end)
+        out = np.zeros(len(stream), np.int64)
+        for at, shared in (self.above, self.below):
+            last = np.searchsorted(at, stream, "right") - 1
+            # before the first sample nothing is shared: the text's first position is always one
+            np.maximum(out, shared[last] - (stream - at[last]), out=out)
+        return out
+
+    def text(self) -> np.ndarray:
+        """The text, read back from its end on out of the runs alone."""
+        symbols = np.repeat(self.symbols, self.lengths)
+        # the place of the suffix that is one byte longer: those of one byte keep their order
+        longer = np.empty(len(symbols), np.int64)
+        longer[np.argsort(symbols, kind="stable")] = np.arange(len(symbols))
+        out, place = np.zeros(self.size, np.uint8), 0
+        for i in range(self.size - 1, -1, -1):
+            out[i] = symbols[place]
+            place = longer[place]
+        return out
+
+
 def match_lengths(text: np.ndarray) -> np.ndarray:
     """For each position: the longest match of what starts there with what starts anywhere else."""
-    n = len(text)
-    if n < 2:
-        return np.zeros(n, np.int64)
-    order, rank = suffix_order(text)
-    heads = run_heads(text, order)
-    heads[0] = True
-    sampled = np.flatnonzero(heads)
-    lcp = np.zeros(len(sampled), np.int64)
-    lcp[1:] = _common(text, order[sampled[1:]], order[sampled[1:] - 1])
-    sample_at = np.full(n, -1, np.int64)
-    sample_at[order[sampled]] = order[sampled] + lcp
-    # stream over the text: from the last sample on, each step loses one
-    reach = np.where(sample_at >= 0, np.arange(n), 0)
-    np.maximum.accumulate(reach, out=reach)
-    before = np.maximum(sample_at[reach] - np.arange(n), 0)
-    after = np.zeros(n, np.int64)
-    after[order[:-1]] = before[order[1:]]
-    return np.maximum(before, after)
+    return RunIndex(text).matches(0, len(text)) if len(text) > 1 else np.zeros(len(text), np.int64)

@@ -55,13 +55,28 @@ def _width(column) -> int:
     return int(np.diff(np.asarray(column.offsets)).max(initial=0))
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer products of rows: in float64 while that is exact, else in Python's integers, held to 64 bits."""
+def _exact(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether integer products of rows are exact in float64."""
     top = [int(max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))) for x in (a, b)]
-    if top[0] * top[1] * max(1, a.shape[1]) < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    exact = a.astype(object) @ b.astype(object).T
-    return np.clip(exact, _NONE + 1, 2**63 - 1).astype(np.int64)
+    return top[0] * top[1] * max(1, a.shape[1]) < 2**53
+
+
+def _scores(a: np.ndarray, b: np.ndarray, blocks: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The products of rows by block, and whole ones.
+
+    Large ones are worked out in Python's integers. Blocks only choose what is looked at, so theirs are then
+    held to 64 bits; a whole score that doesn't fit is an error.
+    """
+    if not blocks:
+        return [], np.zeros((len(a), len(b)), np.int64)
+    if _exact(a, b):
+        lists = [(a[:, x].astype(np.float64) @ b[:, x].astype(np.float64).T).astype(np.int64) for x in blocks]
+        return lists, sum(lists[1:], lists[0])
+    exact = [a[:, x].astype(object) @ b[:, x].astype(object).T for x in blocks]
+    whole = sum(exact[1:], exact[0])
+    if whole.size and max(abs(whole.max()), abs(whole.min())) >= 2**63:
+        raise OverflowError("a score doesn't fit into 64 bits; use a smaller scale")
+    return [np.clip(x, _NONE + 1, 2**63 - 1).astype(np.int64) for x in exact], whole.astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, among: np.ndarray, k: int) -> np.ndarray:
@@ -84,16 +99,15 @@ def _phase(k: int, first: bool):
             cutoff = np.full(len(query), _NONE) if first else np.asarray(left["cutoff"])
             blocks = [x for x in np.array_split(np.arange(width), LISTS) if len(x)]
             for at in range(0, len(query), STEP):
-                lists = [_product(ours[at : at + STEP][:, b], theirs[:, b]) for b in blocks] or [np.zeros((len(ours[at : at + STEP]), len(ids)), np.int64)]
-                whole = sum(lists[1:], lists[0])
+                lists, whole = _scores(ours[at : at + STEP], theirs, blocks)
                 for i in range(len(whole)):
                     other = ids != query[at + i]
                     if first:
-                        places = np.unique(np.concatenate([_best(x[i], ids, np.flatnonzero(other), k) for x in lists]))
+                        places = np.unique(np.concatenate([_best(x[i], ids, np.flatnonzero(other), k) for x in lists or [whole]]))
                     else:
                         # a list can reach its share of the cutoff only from here on; the float bound is loosened by one
-                        share = cutoff[at + i] / len(lists) - 1 if cutoff[at + i] > _NONE else -np.inf
-                        reach = np.logical_or.reduce([x[i] >= share for x in lists])
+                        share = cutoff[at + i] / max(len(lists), 1) - 1 - abs(cutoff[at + i]) * 2.0**-50 if cutoff[at + i] > _NONE else -np.inf
+                        reach = np.logical_or.reduce([x[i] >= share for x in lists or [whole]])
                         places = np.flatnonzero(other & reach)
                         places = places[whole[i][places] >= cutoff[at + i]]
                     places = _best(whole[i], ids, places, k)
@@ -111,7 +125,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ignored. Returns query_id, rank (from 1), vec_id, score. Ties go to the smaller vec_id. Rows of vectors
     that carry the query's own id are no candidates; where a query's id repeats, its greatest vector asks;
     repeated candidates count each. A shorter vector counts as filled with zeros. With fewer than k
-    candidates a query gets all; without any, or for empty tables, no rows.
+    candidates a query gets all; without any, or for empty tables, no rows. A score that doesn't fit into 64
+    bits fails the query.
     """
     spark = vectors.sparkSession
     n, asked = vectors.count(), queries.count()

@@ -2,7 +2,7 @@
 
 Host names run words together. A unigram model of the words on all pages splits them: the Viterbi path over
 a name is its likeliest split. The words of host and path are then tokens of a multinomial naive Bayes model
-that learns from the urls that rules decide, and from a few seed urls.
+that learns from the urls that rules decide, whose verdicts are its labels.
 """
 
 from __future__ import annotations
@@ -22,12 +22,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Names whose meaning needs no rule.
-SEEDS = (
-    ("block", "spam-farm casino-slots cheap-pills free-viagra adult-cams hot-singles xxx-videos porn-tube crack-warez malware-download phishing-login bitcoin-doubler lottery-winner payday-loans replica-watches link-farm"),
-    ("allow", "news-archive library-catalog university-press science-journal open-docs museum-history weather-service city-council health-institute school-lessons reference-guide travel-notes garden-club recipe-book language-forum"),
-)
-LONGEST_WORD = 24
+#: Letters of a word at most. DNS labels have 63 characters at most, so no longer word can stand in a host name.
+LONGEST_WORD = 63
 #: Buckets that tokens hash to; a power of two.
 BUCKETS = 1 << 14
 SCALE = 1_000_000
@@ -82,14 +78,21 @@ def viterbi(name: str, logs: dict[str, float], total: float) -> list[str]:
 def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """``host`` and ``tokens``: the words of each distinct host.
 
-    Only the words that occur in a host travel to it, so the word list may be of any size.
+    Only the words that occur in a host travel to it, so the word list may be of any size. Parts of names are
+    counted as one however many hosts have them, so that a frequent one, such as a top-level domain, meets the
+    word list once; what was found then goes back by name.
     """
     total = float(counts.agg(F.sum("n")).first()[0] or 0)
-    names = hosts.select("host").distinct().withColumn("name", F.explode(F.array_distinct(F.regexp_extract_all("host", F.lit(r"\p{L}+"), F.lit(0)))))
-    spots = names.select("host", "name", F.explode(F.sequence(F.lit(1), F.char_length("name"))).alias("at"))
+    named = hosts.select("host").distinct().withColumn("names", F.array_distinct(F.regexp_extract_all("host", F.lit(r"\p{L}+"), F.lit(0))))
+    names = named.select(F.explode("names").alias("name")).distinct()
+    spots = names.select("name", F.explode(F.sequence(F.lit(1), F.char_length("name"))).alias("at"))
     reach = F.least(F.lit(LONGEST_WORD), F.char_length("name") - F.col("at") + 1)
-    parts = spots.select("host", F.explode(F.transform(F.sequence(F.lit(1), reach), lambda n: F.substr("name", F.col("at"), n))).alias("word")).distinct()
-    hits = parts.join(counts, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("hits"))
+    parts = spots.select("name", F.explode(F.transform(F.sequence(F.lit(1), reach), lambda n: F.substr("name", F.col("at"), n))).alias("word")).distinct()
+    from .common import materialize
+
+    # stored, so that a name of very many hosts can be split over tasks when it is joined
+    found = materialize(parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("hits")))
+    hits = named.select("host", F.explode("names").alias("name")).join(found, "name").groupBy("host").agg(F.flatten(F.collect_list("hits")).alias("hits"))
 
     def split(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -110,15 +113,16 @@ def path_tokens(path: Column) -> Column:
     return F.regexp_extract_all(F.lower(path), F.lit(r"\p{L}+|\p{N}+"), F.lit(0))
 
 
-def bayes(labelled: DataFrame, buckets: int = BUCKETS) -> tuple[int, list[int]]:
+def bayes(words: DataFrame, labelled: DataFrame, buckets: int = BUCKETS) -> tuple[int, list[int]]:
     """Log-odds of block to allow, as whole millionths: of the classes, and of each bucket's tokens.
 
-    ``labelled`` has verdict and tokens. Its counts cover all rows; a row for each bucket reaches the driver.
+    ``words`` has verdict, token and times (how often they occur), ``labelled`` a row with its verdict for each
+    labelled url. All rows count; a row for each bucket reaches the driver.
     """
-    words = labelled.select("verdict", F.explode("tokens").alias("token"))
     bucket = F.xxhash64("token").bitwiseAND(F.lit(buckets - 1))
     blocked = F.col("verdict") == "block"
-    rows = words.groupBy(bucket.alias("bucket")).agg(F.count_if(blocked).alias("b"), F.count_if(~blocked).alias("a")).collect()
+    count = lambda some: F.coalesce(F.sum(F.when(some, F.col("times"))), F.lit(0))
+    rows = words.groupBy(bucket.alias("bucket")).agg(count(blocked).alias("b"), count(~blocked).alias("a")).collect()
     ends = labelled.agg(F.count_if(blocked).alias("b"), F.count_if(~blocked).alias("a")).first()
     b, a = sum(r.b for r in rows) + len(rows), sum(r.a for r in rows) + len(rows)
     found = {r.bucket: round(SCALE * (math.log((r.b + 1) / b) - math.log((r.a + 1) / a))) for r in rows}
@@ -126,32 +130,35 @@ def bayes(labelled: DataFrame, buckets: int = BUCKETS) -> tuple[int, list[int]]:
     return prior, [found.get(i, 0) for i in range(buckets)]
 
 
-def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES, seeds=SEEDS) -> DataFrame:
+def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", rules=RULES) -> DataFrame:
     """``id_col``, host, path, rule, verdict (allow or block) and score of every row.
 
     Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; path: from there up
     to ``?``, ``#`` or the end; a null url, or one without ``://``, has neither. The longest rule that fits
     decides; else naive Bayes does: block if its log-odds ``score`` (in nats; null where a rule decides) are
     over 0. Tokens that no labelled url has say nothing; a url without tokens is allowed. Ids may repeat or be
-    null, each row is judged by its url alone; other columns are ignored.
+    null, each row is judged by its url alone, however long; other columns are ignored. An empty table gives no
+    rows; without labelled urls the verdict is allow.
     """
-    spark = pages.sparkSession
     urls = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("_url"))
     urls = ruled(urls.select(id_col, host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path")), rules)
-    seed_rows = [(kind, name) for kind, names in seeds for name in names.split()]
-    seeded = spark.createDataFrame(seed_rows, "verdict string, host string")
-    said = word_counts(seeded.withColumn("text", F.col("host")), "text").withColumn("n", 100 * F.col("n"))
-    counts = word_counts(pages, text_col).union(said).groupBy("word").agg(F.sum("n").alias("n"))
-    names = segmented(urls.select("host").union(seeded.select("host")), counts)
     from .common import materialize
 
-    names = materialize(names)
-    urls = urls.join(names, "host", "left").withColumn("tokens", F.concat("tokens", path_tokens(F.col("path"))))
-    seeded = seeded.join(names, "host").select("verdict", "tokens")
-    prior, odds = bayes(urls.where("verdict IS NOT NULL").select("verdict", "tokens").union(seeded))
+    # read once: the pages' texts make up most of a table
+    names = materialize(segmented(urls.select("host"), materialize(word_counts(pages, text_col))))
+    held = urls.select("verdict", "host", path_tokens(F.col("path")).alias("more")).where("verdict IS NOT NULL")
+    # a host's words count as often as it occurs, so they travel once
+    often = held.groupBy("host", "verdict").agg(F.count(F.lit(1)).alias("times")).join(names, "host")
+    by_host = often.select("verdict", "times", F.explode("tokens").alias("token"))
+    by_path = held.select("verdict", F.lit(1).alias("times"), F.explode("more").alias("token"))
+    prior, odds = bayes(by_host.union(by_path), held)
     table = F.split(F.lit(",".join(map(str, odds))), ",").cast("array<bigint>")
     add = lambda total, t: total + F.get(table, F.xxhash64(t).bitwiseAND(F.lit(len(odds) - 1)).cast("int"))
-    score = F.when(F.size("tokens") > 0, F.aggregate("tokens", F.lit(prior).cast("long"), add)).otherwise(F.lit(0).cast("long"))
+    # the sum of a host is worked out once for all its urls
+    hosts = names.select("host", (F.size("tokens") > 0).alias("_any"), F.aggregate("tokens", F.lit(0).cast("long"), add).alias("_sum"))
+    own = path_tokens(F.col("path"))
+    urls = urls.join(hosts, "host", "left")
+    score = F.when(F.col("_any") | (F.size(own) > 0), F.col("_sum") + F.aggregate(own, F.lit(prior).cast("long"), add)).otherwise(F.lit(0).cast("long"))
     urls = urls.withColumn("_score", F.when(F.col("verdict").isNull(), score))
     verdict = F.coalesce("verdict", F.when(F.col("_score") > 0, "block").otherwise("allow"))
     return urls.select(id_col, "host", "path", "rule", verdict.alias("verdict"), (F.col("_score") / SCALE).alias("score"))

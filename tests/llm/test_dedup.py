@@ -235,6 +235,21 @@ def test_match_lengths():
 
         want = [max((common(i, j) for j in range(n) if j != i), default=0) for i in range(n)]
         assert run_index.match_lengths(text).tolist() == want
+        index = run_index.RunIndex(text)
+        assert index.text().tolist() == text.tolist()
+        assert n < 2 or index.matches(n // 2, n).tolist() == want[n // 2 :]
+
+
+def test_an_index_of_copies_has_few_runs():
+    r = random.Random(6)
+    base = [r.randrange(97, 123) for _ in range(2000)]
+    copies = []
+    for _ in range(30):
+        copies += [*base, 255]
+        base[r.randrange(2000)] = r.randrange(97, 123)
+    index = run_index.RunIndex(np.array(copies, np.uint8))
+    assert len(index.symbols) < 2 * 2000 + 30 * 40 and index.lengths.sum() == len(copies) + 1
+    assert len(index.above[0]) <= len(index.symbols) + 1
 
 
 def plain_removal(texts, length):

@@ -230,4 +230,9 @@ def test_top_k_of_few_rows(spark):
     empty = vectors.where("vec_id > 5")
     assert search.top_k(empty, empty).collect() == []
     huge = search.quantized(spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 1.0])], "vec_id long, embedding array<double>"))
-    assert search.top_k(huge, huge.where("vec_id = 0")).count() == 1
+    with pytest.raises(Exception, match="64 bits"):
+        search.top_k(huge, huge.where("vec_id = 0")).collect()
+    # beyond what floats hold exactly, but not beyond 64 bits
+    large = spark.createDataFrame([(0, [3 * 10**9 + 1, 7]), (1, [10**9 + 1, 5]), (2, [10**9 + 1, 6])], "vec_id long, v array<long>")
+    got = search.top_k(large, large.where("vec_id = 0")).collect()
+    assert [(x.vec_id, x.score) for x in got] == [(v, (3 * 10**9 + 1) * (10**9 + 1) + 7 * c) for v, c in ((2, 6), (1, 5))]
