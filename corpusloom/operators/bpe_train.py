@@ -8,29 +8,24 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.bytepair import byte_chars, token_char
+from corpusloom.operators.bpe_encode import pair_counts, spread
 
 
-def pair_counts(df: DataFrame, chars: str) -> DataFrame:
-    """``left``, ``right`` and ``n``: adjacent tokens of all rows, overlapping pairs included."""
-    tokens = df.select(F.split(chars, "").alias("t")).where(F.size("t") > 1)
-    pairs = F.arrays_zip(F.slice("t", F.lit(1), F.size("t") - 1).alias("l"), F.slice("t", F.lit(2), F.size("t") - 1).alias("r"))
-    found = tokens.select(F.explode(pairs).alias("p")).groupBy("p.l", "p.r").agg(F.count(F.lit(1)).alias("n"))
-    return found.select(F.ascii("l").alias("left"), F.ascii("r").alias("right"), "n")
+def train_by_passes(texts: DataFrame, merges: int, text_col: str = "text", framed: bool = False) -> list[tuple[int, int, int]]:
+    """(left, right, count) of each merge, learnt from all rows; with ``framed`` from texts with their newlines.
 
-
-def train_by_passes(texts: DataFrame, merges: int, text_col: str = "text") -> list[tuple[int, int, int]]:
-    """(left, right, count) of each merge. A merge takes one pass over ``texts``; ties go to the least pair.
-
-    Only the best pair of a pass reaches the driver. It stops early when no pair occurs twice.
+    A merge takes one pass that counts pairs in the tasks; ties go to the least pair. Only the best pair of a
+    pass reaches the driver. It stops early when no pair occurs twice.
     """
-    chars, out = byte_chars(F.col(text_col)), []
-    for k in range(merges):
-        best = pair_counts(texts.select(chars.alias("chars")), "chars").orderBy(F.desc("n"), "left", "right").first()
+    texts, out = spread(texts.select(text_col)), []
+    texts = texts.persist()
+    for _ in range(merges):
+        found = pair_counts(texts, [(a, b) for a, b, _ in out], text_col, framed)
+        best = found.orderBy(F.desc("n"), "left", "right").first()
         if best is None or best.n < 2:
             break
         out.append((best.left, best.right, best.n))
-        chars = F.replace(chars, F.lit(chr(best.left) + chr(best.right)), F.lit(token_char(256 + k)))
+    texts.unpersist()
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import bytepair as B
 from corpusloom.functions import identity as I
 from corpusloom.functions import schedule as S
-from corpusloom.operators import bpe_train, corpus, mixture, prefix, windows
+from corpusloom.operators import bpe_encode, bpe_train, corpus, mixture, prefix, windows
 
 MERGES_TRAINED, CONTEXT, SEED, BATCH, ACCUMULATION = 8, 128, 17, 4, 4
 
@@ -146,31 +146,44 @@ def _byte_rows(spark, sf_dir):
 
 def pair_counts_top(spark, sf_dir):
     """The twenty most frequent pairs of bytes: the report that training reads its next merge from."""
-    return bpe_train.pair_counts(_byte_rows(spark, sf_dir), "chars").orderBy(F.desc("n"), "left", "right").limit(20)
+    return bpe_encode.pair_counts(bpe_encode.spread(_docs(spark, sf_dir).select("text")), [], framed=True).orderBy(F.desc("n"), "left", "right").limit(20)
 
 
 def _pairs_of(relation: str, chars: str) -> str:
     return f"SELECT l, r, count(*) AS n FROM (SELECT unnest(list_zip(t[:len(t) - 1], t[2:])) AS p FROM (SELECT string_split({chars}, '') AS t FROM {relation}) WHERE len(t) > 1), LATERAL (SELECT p[1] AS l, p[2] AS r) GROUP BY l, r"
 
 
-_FRAMED = f"framed AS MATERIALIZED (SELECT {_chars('text || chr(10)')} AS c FROM docs)"
+_FRAMED = f"framed AS MATERIALIZED (SELECT doc_id, {_chars('text || chr(10)')} AS c FROM docs)"
 _PAIRS = f"WITH {_DOCS}, {_FRAMED}, counts AS ({_pairs_of('framed', 'c')}) SELECT CAST(unicode(l) AS INT) AS \"left\", CAST(unicode(r) AS INT) AS \"right\", n FROM counts ORDER BY n DESC, 1, 2 LIMIT 20"
 
 
 def bpe_train_k8(spark, sf_dir):
     """Eight merges learnt from all documents."""
-    framed = _docs(spark, sf_dir).select(F.concat("text", F.lit("\n")).alias("text"))
-    found = bpe_train.train_by_passes(framed, MERGES_TRAINED)
+    found = bpe_train.train_by_passes(_docs(spark, sf_dir), MERGES_TRAINED, framed=True)
     return spark.createDataFrame([(k, left, right, 256 + k, n) for k, (left, right, n) in enumerate(found)], "rank int, left int, right int, new_id int, n long")
 
 
-def _train_sql() -> str:
+def bpe_encode_learnt(spark, sf_dir):
+    """All documents in the ids of merges that were learnt from them in the same run."""
+    docs = _docs(spark, sf_dir)
+    merges = [(left, right) for left, right, _ in bpe_train.train_by_passes(docs, MERGES_TRAINED, framed=True)]
+    rows = bpe_encode.encoded(bpe_encode.spread(docs.select("doc_id", "text")), merges)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")).alias("ids_md5"))
+
+
+def _train_steps() -> tuple[list[str], str]:
+    """The SQL of the merges one after another, and the relation with the text after all of them."""
     steps = [_DOCS, _FRAMED]
     relation = "framed"
     for k in range(MERGES_TRAINED):
         steps.append(f"best{k} AS MATERIALIZED (SELECT l, r, n FROM ({_pairs_of(relation, 'c')}) WHERE n >= 2 ORDER BY n DESC, unicode(l), unicode(r) LIMIT 1)")
-        steps.append(f"step{k} AS MATERIALIZED (SELECT replace(c, l || r, chr({256 + k})) AS c FROM {relation}, best{k})")
+        steps.append(f"step{k} AS MATERIALIZED (SELECT doc_id, replace(c, l || r, chr({256 + k})) AS c FROM {relation}, best{k})")
         relation = f"step{k}"
+    return steps, relation
+
+
+def _train_sql() -> str:
+    steps, _ = _train_steps()
     rows = " UNION ALL ".join(f"SELECT {k} AS rank, CAST(unicode(l) AS INT) AS \"left\", CAST(unicode(r) AS INT) AS \"right\", {256 + k} AS new_id, n FROM best{k}" for k in range(MERGES_TRAINED))
     return f"WITH {', '.join(steps)} {rows}"
 
@@ -179,9 +192,15 @@ def _encoded_docs(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", "text", "source", B.encode_chars(F.concat("text", F.lit("\n"))).alias("chars"))
 
 
-def bpe_encode(spark, sf_dir):
-    ids = B.char_ids(F.col("chars"))
-    return _encoded_docs(spark, sf_dir).select("doc_id", F.array_join(corpus.checked_ids(ids).cast("array<string>"), " ").alias("ids"))
+def _learnt_sql() -> str:
+    steps, relation = _train_steps()
+    return f"WITH {', '.join(steps)} SELECT doc_id, CAST(length(c) AS BIGINT) AS n_tokens, md5({_IDS}) AS ids_md5 FROM {relation}"
+
+
+def bpe_encode_ids(spark, sf_dir):
+    """The ids of all documents by fixed merges."""
+    rows = bpe_encode.encoded(bpe_encode.spread(_docs(spark, sf_dir).select("doc_id", "text")), B.MERGES)
+    return rows.select("doc_id", F.array_join(corpus.checked_ids(F.col("ids")).cast("array<string>"), " ").alias("ids"))
 
 
 _ENCODED = f"{_DOCS}, encoded AS (SELECT doc_id, text, source, {_encoded(_chars('text || chr(10)'))} AS c FROM docs)"
@@ -191,8 +210,16 @@ _EOS = 256 + len(B.MERGES)
 
 
 def bpe_encode_eos(spark, sf_dir):
-    ids = F.array_append(B.char_ids(F.col("chars")), F.lit(_EOS))
-    return _encoded_docs(spark, sf_dir).select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.element_at(ids, -1).alias("last_id"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+    rows = bpe_encode.encoded(bpe_encode.spread(_docs(spark, sf_dir).select("doc_id", "text")), B.MERGES, carried=["doc_id"])
+    ids = F.array_append("ids", F.lit(_EOS))
+    return rows.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.element_at(ids, -1).alias("last_id"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+
+
+def _token_counts(spark, sf_dir):
+    """is_validation, bytes and tokens, the end token among them, of every document."""
+    rows = _docs(spark, sf_dir).select("text", I.is_validation(I.digest(F.col("text"))).alias("is_validation"), I.framed_bytes(F.col("text")).alias("bytes"))
+    rows = bpe_encode.encoded(bpe_encode.spread(rows), B.MERGES, carried=["is_validation", "bytes"])
+    return rows.select("is_validation", "bytes", (F.size("ids") + 1).alias("tokens"))
 
 
 _ENCODE_EOS = f"WITH {_ENCODED} SELECT doc_id, CAST(length(c) + 1 AS BIGINT) AS n_tokens, {_EOS} AS last_id, CAST(list_sum(list_transform(string_split(c, ''), lambda x: unicode(x))) + {_EOS} AS BIGINT) AS id_sum FROM encoded"
@@ -223,15 +250,14 @@ UNION ALL SELECT {_EOS}, ''"""
 
 
 def token_counts_by_split(spark, sf_dir):
-    rows = _encoded_docs(spark, sf_dir).withColumn("v", I.is_validation(I.digest(F.col("text"))))
-    return rows.groupBy(F.col("v").alias("is_validation")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.char_length("chars") + 1).alias("tokens"))
+    return _token_counts(spark, sf_dir).groupBy("is_validation").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"))
 
 
 _TOKENS_BY_SPLIT = f"WITH {_ENCODED}, hashed AS (SELECT c, sha256(text) AS h FROM encoded) SELECT {_le('h', 0)} % 10 = 0 AS is_validation, count(*) AS documents, CAST(sum(length(c) + 1) AS BIGINT) AS tokens FROM hashed GROUP BY 1"
 
 
 def compression_stats(spark, sf_dir):
-    rows = _encoded_docs(spark, sf_dir).agg(F.count(F.lit(1)).alias("documents"), F.sum(I.framed_bytes(F.col("text"))).alias("bytes"), F.sum(F.char_length("chars") + 1).alias("tokens"))
+    rows = _token_counts(spark, sf_dir).agg(F.count(F.lit(1)).alias("documents"), F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"))
     return rows.withColumn("vocabulary", F.lit(_EOS + 1)).withColumn("bytes_per_token", F.round(F.col("bytes") / F.col("tokens"), 6))
 
 
@@ -240,8 +266,7 @@ _COMPRESSION = f"WITH {_ENCODED}, sums AS (SELECT count(*) AS documents, CAST(su
 
 def corpus_prepare(spark, sf_dir):
     """Extract, split, encode and count: what a corpus comes to."""
-    rows = _encoded_docs(spark, sf_dir).withColumn("is_validation", I.is_validation(I.digest(F.col("text"))))
-    sums = rows.groupBy("is_validation").agg(F.count(F.lit(1)).alias("documents"), F.sum(I.framed_bytes(F.col("text"))).alias("bytes"), F.sum(F.char_length("chars") + 1).alias("tokens"))
+    sums = _token_counts(spark, sf_dir).groupBy("is_validation").agg(F.count(F.lit(1)).alias("documents"), F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"))
     return sums.withColumn("bytes_per_token", F.round(F.col("bytes") / F.col("tokens"), 6))
 
 
@@ -407,10 +432,10 @@ _CHAT = "WITH lines AS (SELECT conv_id, count(*) AS turns, string_agg(role || ':
 
 
 QUERIES = {
-    f.__name__: f
+    f.__name__.removesuffix("_ids"): f
     for f in (
         corpus_prepare, corpus_extract, identity_split_url, identity_split_text, document_index, split_counts, exclude_prior_identities,
-        tokenizer_sample, shard_union, byte_histogram, pair_counts_top, bpe_train_k8, bpe_encode, bpe_encode_eos, bpe_decode_roundtrip,
+        tokenizer_sample, shard_union, byte_histogram, pair_counts_top, bpe_train_k8, bpe_encode_ids, bpe_encode_learnt, bpe_encode_eos, bpe_decode_roundtrip,
         bpe_vocab, token_counts_by_split, compression_stats, positional_split_90_10, context_windows, sampler_epoch, batch_assignment,
         mixture_order, mixture_shares, mixture_feasible, lr_schedule, token_budget, param_counts, lcg_tokens, chat_history,
     )
@@ -418,7 +443,7 @@ QUERIES = {
 ORACLE_SQL = {
     "corpus_prepare": _PREPARE, "corpus_extract": _EXTRACT, "identity_split_url": _SPLIT_URL, "identity_split_text": _SPLIT_TEXT,
     "document_index": _INDEX, "split_counts": _SPLIT_COUNTS, "exclude_prior_identities": _EXCLUDE, "tokenizer_sample": _SAMPLE,
-    "shard_union": _SHARDS, "byte_histogram": _HISTOGRAM, "pair_counts_top": _PAIRS, "bpe_train_k8": _train_sql(), "bpe_encode": _ENCODE,
+    "shard_union": _SHARDS, "byte_histogram": _HISTOGRAM, "pair_counts_top": _PAIRS, "bpe_train_k8": _train_sql(), "bpe_encode_learnt": _learnt_sql(), "bpe_encode": _ENCODE,
     "bpe_encode_eos": _ENCODE_EOS, "bpe_decode_roundtrip": _DECODE, "bpe_vocab": _vocab_sql(), "token_counts_by_split": _TOKENS_BY_SPLIT,
     "compression_stats": _COMPRESSION, "positional_split_90_10": _POSITIONAL, "context_windows": _WINDOWS, "mixture_order": _MIX_ORDER,
     "sampler_epoch": f"WITH {_epoch_sql()} SELECT cursor, window_id FROM epoch",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import bytepair as B
-from corpusloom.operators import corpus
+from corpusloom.operators import bpe_encode, corpus
 
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, merges=B.MERGES):
@@ -18,7 +18,8 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     No state is kept between rows, so no watermark is needed; the checkpoint says which files are done.
     """
     rows = spark.readStream.schema(schema).parquet(source)
-    index = corpus.indexed(rows).withColumn("ids", F.array_append(B.char_ids(B.encode_chars(F.concat("text", F.lit("\n")), merges)), F.lit(256 + len(merges))))
+    index = bpe_encode.encoded(corpus.indexed(rows), merges, carried=["doc_bytes", "is_validation", "sample_key"])
+    index = index.withColumn("ids", F.array_append("ids", F.lit(256 + len(merges))))
     out = index.select("doc_bytes", "is_validation", F.col("sample_key").cast("string").alias("sample_key"), corpus.checked_ids(F.col("ids")).alias("ids"))
     return out.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).partitionBy("is_validation").trigger(availableNow=True).start()
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import bytepair as B
 from corpusloom.functions import identity as I
 from corpusloom.functions import schedule as S
-from corpusloom.operators import bpe_train, corpus, mixture, windows
+from corpusloom.operators import bpe_encode, bpe_train, corpus, mixture, windows
 
 
 def test_identity_and_split(spark):
@@ -60,6 +61,39 @@ def test_encode_and_decode(spark):
         assert list(x.ids) == greedy(x.text.encode(), B.MERGES) and x.back == x.text
 
 
+def test_encoding_by_sweeps(spark):
+    """Merges in rising order, leftmost first, whatever their number and however texts repeat."""
+    r = random.Random(12)
+    for _ in range(60):
+        texts = [bytes(r.choice(b"aab ") for _ in range(r.randrange(50))) for _ in range(r.randrange(1, 6))]
+        merges = bpe_train.train([bytes(r.choice(b"aab ") for _ in range(300))], r.randrange(40))
+        ids, ends = bpe_encode.Merges(merges).encode(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(x) for x in texts]))
+        got = [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)]
+        assert got == [greedy(x, merges) for x in texts]
+    docs = [("the cat sat on the mat " * 40, 1), (None, 2), ("", 3), ("é😀" * 9, None), ("a" * 100_001, 5)]
+    merges = bpe_train.train([x.encode() for x, _ in docs if x], 300)
+    df = spark.createDataFrame([(*x, "mine") for x in docs], "text string, doc_id long, ids string")
+    rows = bpe_encode.encoded(df, merges).collect()
+    words = B.vocabulary(merges)
+    for x in rows:
+        assert b"".join(words[i] for i in x.ids).decode() == ("" if x.text is None else x.text + "\n")
+        assert x.text is None or len(x.text) > 10**4 or list(x.ids) == greedy((x.text + "\n").encode(), merges)
+    assert bpe_encode.encoded(df.where("false"), merges).collect() == []
+    with pytest.raises(ValueError):
+        bpe_encode.Merges([(300, 1)])
+
+
+def test_training_many_merges_is_quick():
+    import time
+
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8))) for _ in range(500)]
+    text = " ".join(r.choice(words) for _ in range(180_000)).encode()[: 10**6]
+    began = time.time()
+    assert len(bpe_train.train([text], 300)) == 300
+    assert time.time() - began < 60
+
+
 def plain_train(docs, merges):
     docs, out = [list(d) for d in docs], []
     for k in range(merges):
