@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import ByWords, Kept, kept_in_worker, small_batches
 
 #: Words kept with their ids in a worker; pairs of parts kept with their ranks.
-CACHE_ENTRIES, PAIR_ENTRIES = 400_000, 1_000_000
+CACHE_ENTRIES, PAIR_ENTRIES = 1_000_000, 1_000_000
 
 
 class RankBitmap:
@@ -78,20 +78,21 @@ class RankedBpe:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.bitmap = RankBitmap(max(ranks.values()) + 1)
-        self.buckets: dict[int, list[int]] = {}
         self.pairs = _Pairs(ranks, self.tokens)
-        packed = Kept(lambda piece: np.array(self.encode_piece(piece.encode()), np.int32).tobytes(), CACHE_ENTRIES)
-        split = regex.compile(pattern).findall
+        piece = lambda text: np.array(self.encode_piece(text.encode()), np.int32).tobytes()
+        packed, split = Kept(piece, CACHE_ENTRIES), regex.compile(pattern).findall
         whole = lambda text: b"".join(map(packed.__getitem__, split(text)))
         # other patterns may join what the public one keeps apart
-        self.coded = ByWords(whole, whole, CACHE_ENTRIES) if pattern == public_tokenizers.PATTERN else whole
+        self.coded = ByWords(piece, whole, CACHE_ENTRIES) if pattern == public_tokenizers.PATTERN else whole
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: least rank first, leftmost among equals."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, pairs, bitmap, buckets = len(piece), self.pairs, self.bitmap, self.buckets
+        n, pairs, buckets = len(piece), self.pairs, {}
+        # the bitmap's two levels; its methods are written out here, since they are most of the work
+        words, top = self.bitmap.words, 0
         part = [self.single[b] for b in piece]
         part.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n))
@@ -105,13 +106,21 @@ class RankedBpe:
                     buckets[rank].append(at)  # in order, so a heap
                 else:
                     buckets[rank] = [at]
-                    bitmap.add(rank)
-        while (rank := bitmap.first()) >= 0:
+                    words[rank >> 8] |= BIT[rank & 255]
+                    top |= 1 << (rank >> 8)
+        while top:
+            # find-first-set on each level
+            high = (top & -top).bit_length() - 1
+            word = words[high]
+            low = word & -word
+            rank = (high << 8) + low.bit_length() - 1
             bucket = buckets[rank]
             if len(bucket) == 1:
                 at = bucket[0]
                 del buckets[rank]
-                bitmap.remove(rank)
+                words[high] = word = word ^ low
+                if not word:
+                    top &= top - 1
             else:
                 at = heappop(bucket)
             left, right = part[at], after[at]
@@ -125,14 +134,16 @@ class RankedBpe:
                     heappush(buckets[new], at)
                 else:
                     buckets[new] = [at]
-                    bitmap.add(new)
+                    words[new >> 8] |= BIT[new & 255]
+                    top |= 1 << (new >> 8)
             at = before[at]
             if at >= 0 and (new := pairs[(part[at] << 20) + rank]) >= 0:
                 if new in buckets:
                     heappush(buckets[new], at)
                 else:
                     buckets[new] = [at]
-                    bitmap.add(new)
+                    words[new >> 8] |= BIT[new & 255]
+                    top |= 1 << (new >> 8)
         return [x for x in part if x >= 0]
 
     def encode(self, text: str) -> np.ndarray:

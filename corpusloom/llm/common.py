@@ -144,6 +144,19 @@ class Kept(dict):
         return found
 
 
+class _Words(Kept):
+    """What stands for a word with ``blank`` before it. A word with a mark after it is put together anew each time."""
+
+    def __init__(self, blank: str, piece: Callable[[str], bytes], whole: Callable[[str], bytes], marks: Kept, entries: int):
+        super().__init__(lambda word: piece(blank + word) if word.isalpha() else whole(blank + word), entries)
+        self.marks = marks
+
+    def __missing__(self, word: str) -> bytes:
+        if word[-1] in ",.;:!?" and word[:-1].isalpha():
+            return self[word[:-1]] + self.marks[word[-1]]
+        return super().__missing__(word)
+
+
 class ByWords:
     """Encodes texts word by word, for byte-level encoders that cut texts by the public pattern.
 
@@ -154,17 +167,9 @@ class ByWords:
     """
 
     def __init__(self, piece: Callable[[str], bytes], whole: Callable[[str], bytes], entries: int):
-        kept = Kept(piece, entries)
-
-        def coded(word: str, blank: str = "") -> bytes:
-            if word.isalpha():
-                return kept[blank + word]
-            if word[-1] in ",.;:!?" and word[:-1].isalpha():
-                return kept[blank + word[:-1]] + kept[word[-1]]
-            return whole(blank + word)
-
-        self.whole, self.feed = whole, kept["\n"]
-        self.first, self.later = Kept(coded, entries // 8), Kept(lambda word: coded(word, " "), entries)
+        marks = Kept(piece, 4096)
+        self.whole, self.feed = whole, marks["\n"]
+        self.first, self.later = _Words("", piece, whole, marks, entries // 8), _Words(" ", piece, whole, marks, entries)
 
     def __call__(self, text: str) -> bytes:
         out = []

@@ -38,7 +38,7 @@ SETTINGS = ((64, 2), (64, 3), (32, 4))
 #: Columns that are priced at most; with fewer than the best ones, the programme's outcome is still a packing.
 COLUMNS = 600
 #: Words kept with their ids in a worker.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 
 
 def byte_letters() -> dict[str, str]:

@@ -22,7 +22,8 @@ SIZES = (3, 4, 5, 6)
 BITS = 21
 #: Labelled rows of either class that the fit uses, at most; those with the least hashes of their ids.
 SAMPLE = 3000
-#: Features with a weight, at most; the texts of the sample that one must occur in.
+#: The model's size, chosen like its penalty: features with a weight, the most telling ones; the texts of the
+#: sample that one must occur in. All n-grams of a text are looked at, whatever the model has of them.
 FEATURES, LEAST_TEXTS = 2000, 8
 RIDGE, STEPS = 20.0, 400
 
@@ -138,7 +139,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def scored(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``score`` (0 to 1) of every row; a null text counts as empty, other columns as absent."""
+    """``id_col`` and ``score`` (0 to 1) of every row; a null text counts as empty, other columns as absent.
+
+    Whole texts are scored, however long. Ids may repeat or be null, equal texts have equal scores. An empty table
+    gives no rows.
+    """
     small_batches(docs.sparkSession)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 
