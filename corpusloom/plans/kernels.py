@@ -210,6 +210,63 @@ def batched_matmul(d):
     return f"WITH {_base(d)}, {_heads(d)}, cells AS ({d.rows('heads', 'q', 'vec_id, label, head')}) SELECT a.label AS slot, a.head AS head, a.pos AS i, b.pos AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND a.head = b.head GROUP BY a.label, a.head, a.pos, b.pos"
 
 
+def batched_matmul_nt(d):
+    """Scores of each slot, a sequence of sixteen rows and a head: rows times the transposed rows."""
+    return f"WITH {_base(d)}, {_heads(d)}, slots AS (SELECT vec_id, head, q, CAST(floor(vec_id / 16) AS BIGINT) AS seq FROM heads) SELECT a.vec_id AS vec_id, b.vec_id AS other, a.head AS head, round({d.sum(d.map2('a.q', 'b.q', 'x * y'))}, 6) + 0.0 AS v FROM slots a JOIN slots b ON a.seq = b.seq AND a.head = b.head"
+
+
+def batched_matmul_nn(d):
+    """The rows of each head times that head's matrix of eight by eight."""
+    inner = d.sum(d.mapi("q", "x * ((i * 8 + j + head) % 5 - 2) * CAST(0.1 AS DOUBLE)"))
+    return f"WITH {_base(d)}, {_heads(d)}, made AS (SELECT vec_id, head, {d.map(d.seq(8), 'j', inner)} AS o FROM heads), cells AS ({d.rows('made', 'o', 'vec_id, head')}) SELECT vec_id, head, pos, {_rounded('v')} AS v FROM cells"
+
+
+def unpack_heads(d):
+    """Heads back in the columns that they were taken from."""
+    return f"WITH {_base(d)}, {_heads(d)}, cells AS ({d.rows('heads', 'q', 'vec_id, head')}) SELECT vec_id, CAST(head * 8 + pos AS INT) AS pos, {_rounded('v')} AS v FROM cells"
+
+
+def pack_qkv_heads(d):
+    """Three parts of two heads of eight columns: slots for queries, keys and values from one row."""
+    part, head = "CAST(floor(pos / 16) AS INT)", "CAST(floor(pos % 16 / 8) AS INT)"
+    return f"WITH {_base(d)}, cells AS ({d.rows('base', 'e', 'vec_id')}) SELECT vec_id, {part} AS part, {head} AS head, CAST(pos % 8 AS INT) AS place, {_rounded('v')} AS v FROM cells WHERE pos < 48"
+
+
+def layernorm_bwd_params(d):
+    """What the scale and the shift of a layer norm gather from all rows."""
+    steps = (*_norm_steps(d), f"grads AS (SELECT vec_id, xhat, {_shift(d)} AS g FROM normed)", f"prods AS (SELECT vec_id, g, {d.map2('g', 'xhat', 'x * y')} AS w FROM grads)")
+    cells = f"w AS ({d.rows('prods', 'w', 'vec_id')}), b AS ({d.rows('prods', 'g', 'vec_id')}), dw AS (SELECT pos, sum(v) AS v FROM w GROUP BY pos), db AS (SELECT pos, sum(v) AS v FROM b GROUP BY pos)"
+    return f"WITH {', '.join((_base(d), *steps))}, {cells} SELECT dw.pos AS pos, round(dw.v, 6) + 0.0 AS dw, round(db.v, 6) + 0.0 AS db FROM dw JOIN db ON dw.pos = db.pos"
+
+
+def scaled_softmax_bwd(d):
+    """The gradient through a softmax of scaled values: the scale comes back as a factor."""
+    scale = "CAST(0.125 AS DOUBLE)"
+    return _long(
+        d,
+        *_soft_steps(d, scale),
+        f"grads AS (SELECT vec_id, p, {_shift(d)} AS g FROM probs)",
+        f"dots AS (SELECT vec_id, p, g, {d.hold(d.sum(d.map2('p', 'g', 'x * y')))} AS dot FROM grads)",
+        f"made AS (SELECT vec_id, {d.map2('p', 'g', f'{scale} * x * (y - dot)')} AS o FROM dots)",
+    )
+
+
+def adamw_step_two(d):
+    """The second step, from the moments of the first: both are corrected for their start from zero."""
+    one, two, rate = "CAST(0.9 AS DOUBLE)", "CAST(0.95 AS DOUBLE)", "CAST(0.001 AS DOUBLE)"
+    after = f"x - {rate} * CAST(0.1 AS DOUBLE) * x - {rate} * y / (sqrt(y * y) + CAST(1e-8 AS DOUBLE))"
+    mean = f"(({one} * (1 - {one}) * y + (1 - {one}) * x) / (1 - {one} * {one}))"
+    square = f"(({two} * (1 - {two}) * y * y + (1 - {two}) * x * x) / (1 - {two} * {two}))"
+    return _long(
+        d,
+        f"t AS (SELECT vec_id, e, {_shift(d)} AS g FROM base)",
+        f"first AS (SELECT vec_id, e, g, {d.map2('e', 'g', after)} AS w FROM t)",
+        # the second gradient is the row itself, the first the turned one
+        f"moved AS (SELECT vec_id, w, {d.map2('e', 'g', f'{mean} / (sqrt({square}) + CAST(1e-8 AS DOUBLE))')} AS u FROM first)",
+        f"made AS (SELECT vec_id, {d.map2('w', 'u', f'x - {rate} * CAST(0.1 AS DOUBLE) * x - {rate} * y')} AS o FROM moved)",
+    )
+
+
 def causal_attention(d):
     """Sequences of sixteen rows; a row sees itself and those before it."""
     steps = (
@@ -248,7 +305,8 @@ _ALL: tuple[Callable, ...] = (
     add_bias, sum_rows, scale_add, copy_block, transpose, layernorm_fwd, layernorm_bwd, softmax_fwd, softmax_bwd, temperature_softmax,
     gelu_fwd, gelu_bwd, cross_entropy_fwd, cross_entropy_bwd, loss_mean, greedy_argmax, topk_filter, categorical_pick, repetition_penalty,
     no_repeat_ngram, matmul_nn, matmul_nt, matmul_tn, pack_heads, batched_matmul, causal_attention, embedding_gather, embedding_scatter_add,
-    grad_norm_clip, adamw_step,
+    grad_norm_clip, adamw_step, adamw_step_two, batched_matmul_nt, batched_matmul_nn, unpack_heads, pack_qkv_heads, layernorm_bwd_params,
+    scaled_softmax_bwd,
 )
 
 
