@@ -420,15 +420,31 @@ _LCG = f"WITH {_DOCS} SELECT i AS position, CAST(((i * 1103515245 + 12345) % 429
 # conversations
 
 
-def chat_history(spark, sf_dir):
-    """Each conversation's turns in order, a line each, and its last 256 characters."""
+def _histories(spark, sf_dir):
     turns = _read(spark, sf_dir, "conversations").where("conv_id IS NOT NULL")
     lines = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))), lambda x: F.concat(x["role"], F.lit(": "), x["text"], F.lit("\n")))
-    rows = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_join(lines, "").alias("history"))
+    return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_join(lines, "").alias("history"))
+
+
+def chat_history(spark, sf_dir):
+    """Each conversation's turns in order, a line each, and its last 256 characters."""
+    rows = _histories(spark, sf_dir)
     return rows.select("conv_id", "turns", F.char_length("history").cast("long").alias("n_characters"), F.substring("history", -256, 256).alias("tail"))
 
 
-_CHAT = "WITH lines AS (SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || coalesce(text, '') || chr(10), '' ORDER BY turn, role, text) AS h FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id) SELECT conv_id, turns, CAST(length(h) AS BIGINT) AS n_characters, right(h, 256) AS tail FROM lines"
+_LINES = "lines AS (SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || coalesce(text, '') || chr(10), '' ORDER BY turn, role, text) AS h FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id)"
+_CHAT = f"WITH {_LINES} SELECT conv_id, turns, CAST(length(h) AS BIGINT) AS n_characters, right(h, 256) AS tail FROM lines"
+
+
+def chat_context(spark, sf_dir):
+    """Each conversation in tokens from an end token on, and what a model sees of it: the last two contexts' worth."""
+    rows = bpe_encode.encoded(_histories(spark, sf_dir), B.MERGES, "history", framed=False, carried=["conv_id"])
+    ids = F.concat(F.array(F.lit(_EOS)), "ids")
+    seen = F.slice(ids, F.greatest(F.size(ids) - 2 * CONTEXT, F.lit(0)) + 1, F.lit(2 * CONTEXT))
+    return rows.select("conv_id", F.size(ids).cast("long").alias("n_tokens"), F.array_join(seen.cast("array<string>"), " ").alias("context"))
+
+
+_CONTEXT = f"WITH {_LINES}, coded AS (SELECT conv_id, chr({_EOS}) || {_encoded(_chars('h'))} AS c FROM lines), seen AS (SELECT conv_id, c AS whole, right(c, {2 * CONTEXT}) AS c FROM coded) SELECT conv_id, CAST(length(whole) AS BIGINT) AS n_tokens, {_IDS} AS context FROM seen"
 
 
 QUERIES = {
@@ -437,7 +453,7 @@ QUERIES = {
         corpus_prepare, corpus_extract, identity_split_url, identity_split_text, document_index, split_counts, exclude_prior_identities,
         tokenizer_sample, shard_union, byte_histogram, pair_counts_top, bpe_train_k8, bpe_encode_ids, bpe_encode_learnt, bpe_encode_eos, bpe_decode_roundtrip,
         bpe_vocab, token_counts_by_split, compression_stats, positional_split_90_10, context_windows, sampler_epoch, batch_assignment,
-        mixture_order, mixture_shares, mixture_feasible, lr_schedule, token_budget, param_counts, lcg_tokens, chat_history,
+        mixture_order, mixture_shares, mixture_feasible, lr_schedule, token_budget, param_counts, lcg_tokens, chat_history, chat_context,
     )
 }
 ORACLE_SQL = {
@@ -449,5 +465,5 @@ ORACLE_SQL = {
     "sampler_epoch": f"WITH {_epoch_sql()} SELECT cursor, window_id FROM epoch",
     "batch_assignment": f"WITH {_epoch_sql()} SELECT cursor, window_id, cursor // {BATCH * ACCUMULATION} AS step, cursor // {BATCH} AS microbatch, {1 / ACCUMULATION}::DOUBLE AS scale FROM epoch",
     "mixture_shares": _MIX_SHARES, "mixture_feasible": _MIX_FEASIBLE, "lr_schedule": _LR, "token_budget": _BUDGET, "param_counts": _PARAMS,
-    "lcg_tokens": _LCG, "chat_history": _CHAT,
+    "lcg_tokens": _LCG, "chat_history": _CHAT, "chat_context": _CONTEXT,
 }
