@@ -255,3 +255,28 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     h = np.add.reduceat(value, starts)
     h = mix(h ^ (length.astype(np.uint64) << np.uint64(40)))
     return h, starts, ends, np.searchsorted(starts, offsets)
+
+
+def byte_runs(data: bytes, table: bytes, step: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Maximal runs of the bytes that ``table`` (256 bytes, for ``bytes.translate``) doesn't turn into blanks.
+
+    They come as translated, in lists from about ``step`` bytes each, so that a long text needs little memory.
+    """
+    data, at = data.translate(table), 0
+    while at < len(data):
+        end = data.find(b" ", at + step)
+        end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end
+
+
+def salted(rows: DataFrame, few: DataFrame, key: str, spread: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``few``, which has one row for each ``key``, when few keys hold most rows.
+
+    Each row of ``few`` goes to as many places as there are shuffle partitions, and rows go to one of them by a
+    hash of ``spread``, so that no task gets all rows of a key.
+    """
+    places = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(places)).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    return left.join(right, [key, "_salt"]).drop("_salt")
