@@ -1,8 +1,8 @@
 """Chat formatting: conversations as windows of bounded tokens, cut between turns, with a mask for the loss.
 
 Prefix sums of the turns' tokens choose the windows: the sums are cut into cells of equal width, and a window holds the
-turns that begin in one cell. A turn longer than what the cell leaves room for stands alone. So no window waits for the
-one before it, however long a conversation is. Each window begins with the conversation's system turn and, after the
+turns that begin in one cell. A cell leaves room for the longest turn of the conversation; turns that are too long for
+that stand alone. So no window waits for the one before it, however long a conversation is. Each window begins with the conversation's system turn and, after the
 first window, with the last turns before it, as far as they fit in the tokens set aside for history. Those are
 repeats, and the mask leaves them out: the loss covers each text of the assistant once.
 
@@ -96,12 +96,13 @@ def formatted(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, tok
 
     # ranges: what a conversation has before each of them, and its system turn
     system = F.min_by(F.when(F.col("role") == "system", F.struct("at", "text", "tokens")), "at")
-    parts = turns.groupBy("conv_id", "part").agg(system.alias("system"), F.sum("tokens").alias("_tokens"), F.sum(F.col("is_long").cast("int")).alias("_long"), F.count(F.lit(1)).alias("_turns"))
+    parts = turns.groupBy("conv_id", "part").agg(system.alias("system"), F.sum("tokens").alias("_tokens"), F.sum(F.col("is_long").cast("int")).alias("_long"), F.max(F.when(~F.col("is_long"), F.col("tokens"))).alias("_most"), F.count(F.lit(1)).alias("_turns"))
     along = Window.partitionBy("conv_id").orderBy("part")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumns({"system": F.first("system").over(along), "_all": F.sum("_turns").over(Window.partitionBy("conv_id"))} | {f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("_tokens", "_long")})
+    every = Window.partitionBy("conv_id")
+    parts = parts.withColumns({"system": F.first("system").over(along), "_all": F.sum("_turns").over(every), "_most": F.max("_most").over(every)} | {f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("_tokens", "_long")})
     taken = F.coalesce(F.col("system.tokens"), F.lit(0))
-    parts = parts.withColumn("stride", F.greatest(budget - history - taken, F.lit(least)) - long).withColumn("taken", taken).drop("_tokens", "_long", "_turns")
+    parts = parts.withColumn("stride", F.greatest(budget - history - taken, F.lit(least)) - F.coalesce("_most", F.lit(0))).withColumn("taken", taken).drop("_tokens", "_long", "_turns")
 
     # turns: the tokens and long turns before each of them, without the system turn
     light = parts.select("conv_id", "part", "taken", "stride", F.col("system.at").alias("system_at"), "_tokens_before", "_long_before")
@@ -194,10 +195,11 @@ WITH given AS (
     {len(START) + 1 + len(END)} + length({_ESCAPED("replace(replace(role, '%', '%25'), chr(10), '%0A')")}) + length({_ESCAPED("text")}) AS chars,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(10) || text)) AS place FROM given
 ), heads AS (
-  SELECT conv_id, tokens AS taken, chars AS head_chars, greatest({BUDGET - HISTORY} - tokens, {_LEAST}) - {_LONG} AS stride FROM turns WHERE place = 1 AND role = 'system'
+  SELECT conv_id, coalesce(max(tokens) FILTER (WHERE place = 1 AND role = 'system'), 0) AS taken, coalesce(max(chars) FILTER (WHERE place = 1 AND role = 'system'), 0) AS head_chars,
+    greatest({BUDGET - HISTORY} - taken, {_LEAST}) - coalesce(max(tokens) FILTER (WHERE tokens <= {_LONG}), 0) AS stride FROM turns GROUP BY conv_id
 ), own AS (
-  SELECT t.*, coalesce(h.stride, {BUDGET - HISTORY - _LONG}) AS stride, coalesce(h.head_chars, 0) AS head_chars, t.tokens > {_LONG} AS is_long
-  FROM turns t LEFT JOIN heads h ON t.conv_id IS NOT DISTINCT FROM h.conv_id WHERE NOT (t.place = 1 AND t.role = 'system')
+  SELECT t.*, h.stride, h.head_chars, t.tokens > {_LONG} AS is_long
+  FROM turns t JOIN heads h ON t.conv_id IS NOT DISTINCT FROM h.conv_id WHERE NOT (t.place = 1 AND t.role = 'system')
 ), summed AS (
   SELECT *, coalesce(sum(tokens) OVER p, 0) AS "offset", coalesce(sum(CAST(is_long AS INT)) OVER p, 0) AS longs FROM own
   WINDOW p AS (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
