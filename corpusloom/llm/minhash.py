@@ -421,14 +421,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class: the one with the least id, the first in the files among equals.
+    """``docs`` with one row of each class: the one with the least id, and among equals that of the least digest.
 
-    Rows without an id come after all others. Different rows that share an id are told apart.
+    Rows without an id come after all others. The digest is of all columns, so that the choice doesn't depend on
+    where rows are stored; rows equal in all columns are interchangeable. Different rows that share an id are told
+    apart.
     """
     held = located(docs, F.struct(*(F.col(c) for c in docs.columns)).alias("own"))
-    texts = held.select("file", "row", F.col("own")[id_col].alias("id"), F.col("own")[text_col].alias("text"))
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "file", "row")
-    kept = linked(texts, threshold).rows.groupBy("class_number").agg(F.min(order).alias("first")).select("first.file", "first.row")
+    digest = F.xxhash64(F.to_json("own", {"ignoreNullFields": "false"}))
+    order = F.struct(F.col("own")[id_col].isNull().alias("none"), F.col("own")[id_col].alias("id"), digest.alias("digest"))
+    rows = linked(held.select("file", "row", order.alias("id"), F.col("own")[text_col].alias("text")), threshold).rows
+    kept = rows.groupBy("class_number").agg(F.min(F.struct("id", "file", "row")).alias("first")).select("first.file", "first.row")
     return held.join(kept, ["file", "row"], "left_semi").select(*(F.col("own")[c].alias(c) for c in docs.columns))
 
 
