@@ -184,6 +184,22 @@ def test_shards(spark, tmp_path):
     same = spark.createDataFrame([(1, "x")] * 50, "doc_id long, text string")
     assert sorted(x.place for x in sharding.shuffled(same, ["doc_id"]).collect()) == list(range(50))
     assert sharding.sharded(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"], 3).collect() == []
+    # the same places whatever the number of tasks
+    want = sorted((x.n, x.place) for x in sharding.shuffled(df, ["doc_id", "n"], bucket_bytes=2000).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = sharding.shuffled(df.repartition(9), ["doc_id", "n"], bucket_bytes=2000)
+        assert sorted((x.n, x.place) for x in got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_fisher_yates(spark):
+    rows = spark.range(12_000).select(sharding.fisher_yates(F.lit(4), 7, F.col("id")).alias("o")).collect()
+    seen = collections.Counter(tuple(x.o) for x in rows)
+    assert len(seen) == 24 and all(sorted(x) == [0, 1, 2, 3] for x in seen) and max(seen.values()) < 620 and min(seen.values()) > 380
+    ones = spark.range(2).select(sharding.fisher_yates(F.lit(1), 7, F.col("id")).alias("o"), sharding.fisher_yates(F.lit(3000), 7, F.col("id")).alias("p")).collect()
+    assert [list(x.o) for x in ones] == [[0], [0]] and all(sorted(x.p) == list(range(3000)) for x in ones) and ones[0].p != ones[1].p
 
 
 def test_shuffle_is_uniform(spark):
@@ -208,6 +224,14 @@ def plain_top(rows, k=10):
     return sorted(out)
 
 
+def test_components_beyond_64_bits(spark):
+    for x in (1e17, -1e17, 2.0**53):
+        with pytest.raises(Exception, match="64 bits"):
+            search.quantized(spark.createDataFrame([(1, [0.5, x])], "vec_id long, embedding array<double>")).collect()
+    got = search.quantized(spark.createDataFrame([(1, [8e15, -0.5])], "vec_id long, embedding array<double>")).first()
+    assert got.v == [8 * 10**15 * 1024, -512]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_top_k_is_that_of_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BLOCK", 3)
