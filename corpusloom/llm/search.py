@@ -30,12 +30,16 @@ _NONE = -(2**63)
 def quantized(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
     """``vec_id`` and ``v``: floor(scale * x) of each component, as long.
 
-    Rows whose vector is null or holds a null or non-finite component go, and rows without an id.
+    Rows whose vector is null or holds a null or non-finite component go, and rows without an id. A component that
+    doesn't fit into 64 bits fails the query.
     """
     x = F.col(vector_col)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
     kept = df.where(F.col(id_col).isNotNull() & x.isNotNull()).where(F.coalesce(finite, F.lit(False)))
-    return kept.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double"))).alias("v"))
+    scaled = lambda c: F.lit(float(scale)) * c.cast("double")
+    # a larger one would become the largest long
+    whole = lambda c: F.when(F.abs(scaled(c)) < F.lit(2.0**63), F.floor(scaled(c))).otherwise(F.raise_error(F.lit("a component doesn't fit into 64 bits; use a smaller scale")).cast("long"))
+    return kept.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def _matrix(column, width: int) -> np.ndarray:
