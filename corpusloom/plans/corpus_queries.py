@@ -12,7 +12,7 @@ from corpusloom.functions import identity as I
 from corpusloom.functions import schedule as S
 from corpusloom.operators import bpe_encode, bpe_train, corpus, mixture, prefix, windows
 
-MERGES_TRAINED, CONTEXT, SEED, BATCH, ACCUMULATION = 8, 128, 17, 4, 4
+MERGES_TRAINED, MERGES_MORE, CONTEXT, SEED, BATCH, ACCUMULATION = 8, 64, 128, 17, 4, 4
 
 
 def _read(spark, sf_dir: str, table: str) -> DataFrame:
@@ -157,10 +157,19 @@ _FRAMED = f"framed AS MATERIALIZED (SELECT doc_id, {_chars('text || chr(10)')} A
 _PAIRS = f"WITH {_DOCS}, {_FRAMED}, counts AS ({_pairs_of('framed', 'c')}) SELECT CAST(unicode(l) AS INT) AS \"left\", CAST(unicode(r) AS INT) AS \"right\", n FROM counts ORDER BY n DESC, 1, 2 LIMIT 20"
 
 
+def _trained(spark, sf_dir, merges):
+    found = bpe_train.train_by_passes(_docs(spark, sf_dir), merges, framed=True)
+    return spark.createDataFrame([(k, left, right, 256 + k, n) for k, (left, right, n) in enumerate(found)], "rank int, left int, right int, new_id int, n long")
+
+
 def bpe_train_k8(spark, sf_dir):
     """Eight merges learnt from all documents."""
-    found = bpe_train.train_by_passes(_docs(spark, sf_dir), MERGES_TRAINED, framed=True)
-    return spark.createDataFrame([(k, left, right, 256 + k, n) for k, (left, right, n) in enumerate(found)], "rank int, left int, right int, new_id int, n long")
+    return _trained(spark, sf_dir, MERGES_TRAINED)
+
+
+def bpe_train_k64(spark, sf_dir):
+    """Sixty-four merges learnt from all documents, several of them in a pass."""
+    return _trained(spark, sf_dir, MERGES_MORE)
 
 
 def bpe_encode_learnt(spark, sf_dir):
@@ -171,27 +180,23 @@ def bpe_encode_learnt(spark, sf_dir):
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")).alias("ids_md5"))
 
 
-def _train_steps() -> tuple[list[str], str]:
+def _train_steps(merges: int = MERGES_TRAINED) -> tuple[list[str], str]:
     """The SQL of the merges one after another, and the relation with the text after all of them."""
     steps = [_DOCS, _FRAMED]
     relation = "framed"
-    for k in range(MERGES_TRAINED):
+    for k in range(merges):
         steps.append(f"best{k} AS MATERIALIZED (SELECT l, r, n FROM ({_pairs_of(relation, 'c')}) WHERE n >= 2 ORDER BY n DESC, unicode(l), unicode(r) LIMIT 1)")
         steps.append(f"step{k} AS MATERIALIZED (SELECT doc_id, replace(c, l || r, chr({256 + k})) AS c FROM {relation}, best{k})")
         relation = f"step{k}"
     return steps, relation
 
 
-def _train_sql() -> str:
-    steps, _ = _train_steps()
-    rows = " UNION ALL ".join(f"SELECT {k} AS rank, CAST(unicode(l) AS INT) AS \"left\", CAST(unicode(r) AS INT) AS \"right\", {256 + k} AS new_id, n FROM best{k}" for k in range(MERGES_TRAINED))
+def _train_sql(merges: int = MERGES_TRAINED) -> str:
+    steps, _ = _train_steps(merges)
+    rows = " UNION ALL ".join(f"SELECT {k} AS rank, CAST(unicode(l) AS INT) AS \"left\", CAST(unicode(r) AS INT) AS \"right\", {256 + k} AS new_id, n FROM best{k}" for k in range(merges))
     return f"WITH {', '.join(steps)} {rows}"
 
 
-def _encoded_docs(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", "text", "source", B.encode_chars(F.concat("text", F.lit("\n"))).alias("chars"))
-
-
 def _learnt_sql() -> str:
     steps, relation = _train_steps()
     return f"WITH {', '.join(steps)} SELECT doc_id, CAST(length(c) AS BIGINT) AS n_tokens, md5({_IDS}) AS ids_md5 FROM {relation}"
@@ -226,7 +231,9 @@ _ENCODE_EOS = f"WITH {_ENCODED} SELECT doc_id, CAST(length(c) + 1 AS BIGINT) AS
 
 
 def bpe_decode_roundtrip(spark, sf_dir):
-    return _encoded_docs(spark, sf_dir).select("doc_id", B.decode_chars(F.col("chars")).alias("text"))
+    """All documents with their newlines, encoded and decoded again."""
+    rows = bpe_encode.encoded(bpe_encode.spread(_docs(spark, sf_dir).select("doc_id", "text")), B.MERGES, carried=["doc_id"])
+    return bpe_encode.decoded(rows, B.MERGES)
 
 
 _DECODE = f"WITH {_DOCS} SELECT doc_id, text || chr(10) AS text FROM docs"
@@ -278,7 +285,8 @@ _PREPARE = f"WITH {_ENCODED}, hashed AS (SELECT text, c, sha256(text) AS h FROM
 
 def positional_split_90_10(spark, sf_dir):
     """All documents as one stream of tokens, cut at nine tenths: where each document's tokens go."""
-    rows = _encoded_docs(spark, sf_dir).select("doc_id", F.char_length("chars").cast("long").alias("n"))
+    rows = bpe_encode.encoded(bpe_encode.spread(_docs(spark, sf_dir).select("doc_id", "text")), B.MERGES, carried=["doc_id"])
+    rows = rows.select("doc_id", F.size("ids").cast("long").alias("n"))
     total = rows.agg(F.sum("n").alias("total"))
     rows = prefix.sums_before(rows, "n", ["doc_id"], F.floor(F.col("doc_id") / windows.IDS)).join(F.broadcast(total))
     train = F.greatest(F.lit(0), F.least(F.col("n"), F.floor(F.col("total") * F.lit(0.9).cast("double")).cast("long") - F.col("before")))
@@ -451,7 +459,7 @@ QUERIES = {
     f.__name__.removesuffix("_ids"): f
     for f in (
         corpus_prepare, corpus_extract, identity_split_url, identity_split_text, document_index, split_counts, exclude_prior_identities,
-        tokenizer_sample, shard_union, byte_histogram, pair_counts_top, bpe_train_k8, bpe_encode_ids, bpe_encode_learnt, bpe_encode_eos, bpe_decode_roundtrip,
+        tokenizer_sample, shard_union, byte_histogram, pair_counts_top, bpe_train_k8, bpe_train_k64, bpe_encode_ids, bpe_encode_learnt, bpe_encode_eos, bpe_decode_roundtrip,
         bpe_vocab, token_counts_by_split, compression_stats, positional_split_90_10, context_windows, sampler_epoch, batch_assignment,
         mixture_order, mixture_shares, mixture_feasible, lr_schedule, token_budget, param_counts, lcg_tokens, chat_history, chat_context,
     )
@@ -459,7 +467,7 @@ QUERIES = {
 ORACLE_SQL = {
     "corpus_prepare": _PREPARE, "corpus_extract": _EXTRACT, "identity_split_url": _SPLIT_URL, "identity_split_text": _SPLIT_TEXT,
     "document_index": _INDEX, "split_counts": _SPLIT_COUNTS, "exclude_prior_identities": _EXCLUDE, "tokenizer_sample": _SAMPLE,
-    "shard_union": _SHARDS, "byte_histogram": _HISTOGRAM, "pair_counts_top": _PAIRS, "bpe_train_k8": _train_sql(), "bpe_encode_learnt": _learnt_sql(), "bpe_encode": _ENCODE,
+    "shard_union": _SHARDS, "byte_histogram": _HISTOGRAM, "pair_counts_top": _PAIRS, "bpe_train_k8": _train_sql(), "bpe_train_k64": _train_sql(MERGES_MORE), "bpe_encode_learnt": _learnt_sql(), "bpe_encode": _ENCODE,
     "bpe_encode_eos": _ENCODE_EOS, "bpe_decode_roundtrip": _DECODE, "bpe_vocab": _vocab_sql(), "token_counts_by_split": _TOKENS_BY_SPLIT,
     "compression_stats": _COMPRESSION, "positional_split_90_10": _POSITIONAL, "context_windows": _WINDOWS, "mixture_order": _MIX_ORDER,
     "sampler_epoch": f"WITH {_epoch_sql()} SELECT cursor, window_id FROM epoch",

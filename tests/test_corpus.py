@@ -132,6 +132,50 @@ def test_training(spark):
     assert bpe_train.train_sample(spark.createDataFrame([(d[:-1],) for d in docs], "text string"), 6) == plain_train([d.encode() for d in docs], 6)
 
 
+def test_training_passes(spark):
+    """Passes of several merges with kept counts come to the merges of one at a time."""
+    import pyarrow as pa
+
+    def passes(docs, merges):
+        texts = pa.RecordBatch.from_arrays([pa.array(docs, pa.binary()), pa.array([1 + i % 3 for i in range(len(docs))], pa.int64())], ["text", "weight"])
+        table, counts, out, sizes = list(bpe_train._begun(iter([texts]))), {}, [], []
+        while len(out) < merges:
+            for batch in table:
+                for left, right, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                    if left is not None:
+                        counts[left, right] = counts.get((left, right), 0) + n
+            assert all(n >= 0 for n in counts.values())
+            ranked = sorted(((a, b, n) for (a, b), n in counts.items() if n), key=lambda x: (-x[2], x[0], x[1]))
+            batch = bpe_train.known_merges(ranked)[: merges - len(out)]
+            if not batch:
+                break
+            sizes.append(len(batch))
+            chunks = [pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["ids", "weights"]) for x in table if x.num_rows and x.column(0).null_count == 0]
+            table = list(bpe_train._applied([(a, b) for a, b, _ in batch], 256 + len(out))(iter(chunks)))
+            out += batch
+        return out, sizes
+
+    r = random.Random(11)
+    several = 0
+    for k in range(60):
+        docs = [bytes(r.choice(b"ab" if k % 3 == 0 else b"abcde fgh") for _ in range(r.randrange(80))) for _ in range(6)]
+        out, sizes = passes(docs, 40)
+        assert [(a, b) for a, b, _ in out] == plain_train([d for i, d in enumerate(docs) for _ in range(1 + i % 3)], 40)
+        several += sum(n > 1 for n in sizes)
+    assert several > 20
+    assert bpe_train.known_merges([(1, 2, 9), (3, 4, 9), (2, 5, 8), (6, 7, 8)]) == [(1, 2, 9), (3, 4, 9)]
+    assert bpe_train.known_merges([(1, 1, 9), (3, 4, 9)]) == [(1, 1, 9)] and bpe_train.known_merges([(1, 2, 1)]) == []
+    ids = np.array([7, 256, 70_000, -1, 65_534], np.int32)
+    assert bpe_train._unpacked(bpe_train._packed(ids, 70_001), 70_001).tolist() == ids.tolist()
+    assert len(bpe_train._packed(ids[:2], 300)) == 4 and bpe_train._unpacked(bpe_train._packed(ids[[0, 3]], 300), 300).tolist() == [7, -1]
+    # equal texts are kept once
+    docs = ["the cat the hat", "aaaa aaa", None, "", "the cat the hat"] * 3
+    df = spark.createDataFrame([(d, 1) for d in docs], "text string, weight int").repartition(3)
+    got = bpe_train.train_by_passes(df, 12, framed=True)
+    assert [(a, b) for a, b, _ in got] == plain_train([(d + "\n").encode() for d in docs if d is not None], 12)
+    assert bpe_train.train_by_passes(df.where("false"), 3) == []
+
+
 def plain_mix(sources, target):
     emitted, at, out, total = [0] * len(sources), [0] * len(sources), [], 0
     while total < target:
