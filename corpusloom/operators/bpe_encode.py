@@ -188,3 +188,56 @@ def pair_counts(texts: DataFrame, merges: Sequence[tuple[int, int]], text_col: s
 
     rows = texts.select(F.col(text_col).cast("string")).mapInArrow(run, "left int, right int, n long")
     return rows.groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+
+class Vocabulary:
+    """Decoder for ``merges``: the bytes of all ids, one after another, and where each begins."""
+
+    def __init__(self, merges: Sequence[tuple[int, int]]):
+        words = [bytes([b]) for b in range(256)]
+        for k, (a, b) in enumerate(merges):
+            if not (0 <= a < len(words) and 0 <= b < len(words)):
+                raise ValueError(f"merge {k} names an unknown id")
+            words.append(words[a] + words[b])
+        words.append(b"")  # the end of a document
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(words), np.uint8)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of concatenated rows of ids, and where those of each row end; an unknown id is an error."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.sizes)):
+            raise ValueError("an id is not in the vocabulary")
+        sizes = self.sizes[ids]
+        after = np.cumsum(sizes)
+        # each byte's place in the vocabulary: its word's begin plus its place in the word
+        places = np.arange(after[-1] if len(after) else 0) + np.repeat(self.begins[ids] - (after - sizes), sizes)
+        return self.data[places], np.append(0, after)[ends]
+
+
+def decoded(df: DataFrame, merges: Sequence[tuple[int, int]], ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """``df`` with the text of each row's ids instead of them; null ids give null.
+
+    Bytes that aren't UTF-8 become the replacement character, the end token the empty string; an unknown id fails.
+    """
+    merges = list(merges)
+    names = [c for c in df.columns if c not in (ids_col, text_col)]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words = Vocabulary(merges)
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            texts = []
+            for begin in range(0, len(column), 64):
+                rows = column.slice(begin, 64)
+                ids, ends = np.asarray(rows.flatten(), np.int64), np.cumsum([len(x) if x.is_valid else 0 for x in rows])
+                data, stops = words.decode(ids, ends)
+                whole = data.tobytes()
+                for x, a, b in zip(rows, [0, *stops[:-1].tolist()], stops.tolist()):
+                    texts.append(whole[a:b].decode("utf-8", "replace") if x.is_valid else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], schema.names)
+
+    schema = T.StructType([*(df.schema[c] for c in names), T.StructField(text_col, T.StringType())])
+    return df.select(*names, F.col(ids_col).cast("array<int>").alias("_ids")).mapInArrow(run, schema)
