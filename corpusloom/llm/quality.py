@@ -163,5 +163,29 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judged(docs, learnt(spark, docs, sf_dir)).drop("text")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+def quality_base(spark, sf_dir: str) -> DataFrame:
+    """The plain counts of every document, and whether they fail it; no model has a say."""
+    from .common import read
+
+    return judged(read(spark, sf_dir, "documents").select("doc_id", "text"), [0] * 2).select("doc_id", *MADE[:6])
+
+
+_BASE = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM docs
+), places AS (SELECT row, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM split),
+windows AS (SELECT row, i, word || {" || ".join(f"' ' || lead(word, {k}) OVER w" for k in range(1, WINDOW))} AS gram FROM places WINDOW w AS (PARTITION BY row ORDER BY i)),
+grams AS (SELECT row, i, count(*) OVER (PARTITION BY row, gram) AS times FROM windows WHERE gram IS NOT NULL),
+covered AS (SELECT row, count(DISTINCT i + k) AS n FROM grams, range(0, {WINDOW}) t(k) WHERE times > 1 GROUP BY row),
+counts AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM split LEFT JOIN covered USING (row)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts
+"""
+
+QUERIES = {"op1_quality_rules": op1_quality_rules, "quality_base": quality_base}
+ORACLE_SQL = {"quality_base": _BASE}

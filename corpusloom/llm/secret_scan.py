@@ -236,5 +236,27 @@ def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_secret_scan": op7_secret_scan}
-ORACLE_SQL: dict[str, str] = {}
+def secret_base(spark, sf_dir: str) -> DataFrame:
+    """The known forms in every document, counted, and a digest of their places."""
+    return op7_secret_scan(spark, sf_dir).drop("spans")
+
+
+def _base_sql() -> str:
+    steps, rows = [], []
+    for kind, (name, pattern, group, least) in enumerate(KNOWN):
+        p = pattern.replace("'", "''")
+        steps.append(f"k{kind} AS (SELECT row, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {group}) AS g, regexp_split_to_array(text, '{p}') AS gaps FROM docs WHERE regexp_matches(text, '{p}'))")
+        steps.append(f"p{kind} AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k{kind})")
+        size = lambda of, to: f"coalesce(list_sum(list_transform(list_slice({of}, 1, {to}), lambda x: length(x))), 0)"
+        rows.append(f"SELECT row, {kind} AS kind, '{name}' AS name, CAST({size('gaps', 'i')} + {size('m', 'i - 1')} AS BIGINT) AS start, length(m[i]) AS n FROM p{kind} WHERE length(g[i]) >= {least}")
+    count = ", ".join(f"count(*) FILTER (WHERE kind = {kind}) AS n_{name}" for kind, (name, *_) in enumerate(KNOWN))
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents), {", ".join(steps)},
+spans AS ({" UNION ALL ".join(rows)})
+SELECT any_value(doc_id) AS doc_id, {count}, sha256(coalesce(string_agg(name || ':' || start || ':' || (start + n), ',' ORDER BY start, kind) FILTER (WHERE kind IS NOT NULL), '')) AS base_sha256
+FROM docs LEFT JOIN spans USING (row) GROUP BY row
+"""
+
+
+QUERIES = {"op7_secret_scan": op7_secret_scan, "secret_base": secret_base}
+ORACLE_SQL = {"secret_base": _base_sql()}

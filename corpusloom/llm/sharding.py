@@ -95,5 +95,16 @@ def op6_sharding(spark, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_sharding": op6_sharding}
-ORACLE_SQL: dict[str, str] = {}
+def shard_sizes(spark, sf_dir: str) -> DataFrame:
+    """What the law ``rows`` comes to: the rows of each shard, and that their slots have no gaps."""
+    out = op6_sharding(spark, sf_dir).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last_slot"))
+    return out
+
+
+_SIZES = """
+WITH total AS (SELECT count(*) AS n FROM documents), shards AS (SELECT CAST(s AS INT) AS shard, (n - s + 23) // 24 AS rows FROM total, range(0, 24) t(s))
+SELECT shard, rows, rows AS slots, rows - 1 AS last_slot FROM shards WHERE rows > 0
+"""
+
+QUERIES = {"op6_sharding": op6_sharding, "shard_sizes": shard_sizes}
+ORACLE_SQL = {"shard_sizes": _SIZES}

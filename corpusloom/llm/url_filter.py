@@ -171,5 +171,26 @@ def op3_url_filter(spark, sf_dir: str) -> DataFrame:
     return judged(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op3_url_filter": op3_url_filter}
-ORACLE_SQL: dict[str, str] = {}
+def url_rules(spark, sf_dir: str) -> DataFrame:
+    """Host, path, and the rule that fits, of every page's url."""
+    from .common import read
+
+    urls = read(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    return ruled(urls)
+
+
+def _rules_sql() -> str:
+    cases = [[], []]
+    for kind, host, path in sorted(RULES, key=lambda r: -len(r[1] + r[2])):
+        fits = f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN"
+        cases[0].append(f"{fits} '{host}{path}'")
+        cases[1].append(f"{fits} '{kind}'")
+    return f"""
+WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+urls AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
+SELECT page_id, host, path, CASE {" ".join(cases[0])} END AS rule, CASE {" ".join(cases[1])} END AS verdict FROM urls
+"""
+
+
+QUERIES = {"op3_url_filter": op3_url_filter, "url_rules": url_rules}
+ORACLE_SQL = {"url_rules": _rules_sql()}
