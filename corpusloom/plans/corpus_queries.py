@@ -288,7 +288,7 @@ def positional_split_90_10(spark, sf_dir):
     rows = bpe_encode.encoded(bpe_encode.spread(_docs(spark, sf_dir).select("doc_id", "text")), B.MERGES, carried=["doc_id"])
     rows = rows.select("doc_id", F.size("ids").cast("long").alias("n"))
     total = rows.agg(F.sum("n").alias("total"))
-    rows = prefix.sums_before(rows, "n", ["doc_id"], F.floor(F.col("doc_id") / windows.IDS)).join(F.broadcast(total))
+    rows = prefix.sums_along(rows, "n", ["doc_id"]).join(F.broadcast(total))
     train = F.greatest(F.lit(0), F.least(F.col("n"), F.floor(F.col("total") * F.lit(0.9).cast("double")).cast("long") - F.col("before")))
     return rows.select("doc_id", train.cast("long").alias("train_tokens"), (F.col("n") - train).cast("long").alias("validation_tokens"))
 
@@ -298,8 +298,9 @@ cut AS (SELECT doc_id, n, greatest(0, least(n, floor(total * 0.9::DOUBLE)::BIGIN
 
 
 def _windows(spark, sf_dir):
-    ids = F.array_append(B.char_ids(B.byte_chars(F.concat("text", F.lit("\n")))), F.lit(256))
-    return windows.context_windows(_docs(spark, sf_dir).select("doc_id", ids.alias("ids")), CONTEXT)
+    # without merges, ids are bytes
+    docs = bpe_encode.encoded(bpe_encode.spread(_docs(spark, sf_dir).select("doc_id", "text")), [], carried=["doc_id"])
+    return windows.context_windows(docs.withColumn("ids", F.array_append("ids", F.lit(256))), CONTEXT)
 
 
 def context_windows(spark, sf_dir):
