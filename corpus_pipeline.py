@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import minhash, packing, quality, secret_scan, suffix_dedup
-from corpusloom.llm.common import materialize, read
+from corpusloom.llm.common import contained, discard, read
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -60,5 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     *before, (_, last) = STAGES
     for _, stage in before:
-        docs = materialize(stage(spark, docs, sf_dir))
+        # a stage's own tables and the rows it read go once its result is stored
+        done, docs = docs, contained(lambda: stage(spark, docs, sf_dir))  # noqa: B023
+        discard(done)
     return last(spark, docs, sf_dir)

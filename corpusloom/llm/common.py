@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +9,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.shared import _STORED, _remove, discard, shared_dir, stored
+
+__all__ = ["discard", "materialize", "shared_dir"]
+materialize = stored
+
 #: Bytes that separate words: the blank and \t..\r.
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 _IS_SEPARATOR = np.zeros(256, bool)
@@ -23,56 +24,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one, but only on a local master."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-_STORED: dict[str, SparkSession] = {}
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage in storage that outlives any executor. The files go with ``discard``, or when the
-    driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STORED[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables that ``materialize`` made and that nothing will read any more."""
-    for table in tables:
-        if path := getattr(table, "_stored", None):
-            _remove(path)
-
-
-def _remove(path: str) -> None:
-    spark = _STORED.pop(path, None)
-    if spark is None or spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _remove_all() -> None:
-    for path in list(_STORED):
+def contained(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, stored; the other tables that were stored on the way are deleted."""
+    before = set(_STORED)
+    out = materialize(make())
+    for path in set(_STORED) - before - {out._stored}:
         _remove(path)
+    return out
 
 
 def located(df: DataFrame, *columns: Column | str) -> DataFrame:
