@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import bytepair as B
+from corpusloom.functions import report
 from corpusloom.functions import schedule as S
 from corpusloom.operators import bpe_encode, bpe_train, corpus, epochs, fingerprint, history, prepare, rates
 from corpusloom.plans import corpus_queries as C
@@ -135,8 +136,34 @@ sums AS (SELECT *, coalesce(list_sum(list_transform(r, lambda y, i: coalesce(y *
 SELECT event_id, user_id, CASE WHEN place > 1 THEN round(CASE WHEN weights > 0 THEN top / weights ELSE 0 END, 4) END AS rate FROM sums"""
 
 
-QUERIES = {f.__name__: f for f in (corpus_by_position, token_documents, exclude_stored_identities, epoch_batches, corpus_fingerprints, bpe_decode_learnt, ngram_bans, rolling_rates)}
+def progress_report(spark, sf_dir):
+    """Of each user the last rate, and the time that as many events again would take, as a report shows them."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    rows = rates.rolling_rates(events, ["user_id"], seconds, ["ts", "event_id"], "value").groupBy("user_id")
+    last = rows.agg(F.max_by("rate", F.struct("ts", "event_id")).alias("rate"), F.sum("value").alias("done"), F.count(F.lit(1)).alias("events"))
+    done = F.round("done", 2)
+    rate = F.round(F.coalesce("rate", F.lit(0.0)) * 10**6, 2)
+    return last.select("user_id", "events", report.rate_text(rate).alias("rate_text"), report.time_left(done * 10**4, done * 2 * 10**4, rate).alias("time_left"))
+
+
+_REPORT = f"""WITH rolled AS ({_RATES.replace("round(CASE WHEN weights > 0 THEN top / weights ELSE 0 END, 4)", "CASE WHEN weights > 0 THEN top / weights ELSE 0 END").replace("SELECT event_id, user_id, CASE", "SELECT event_id, user_id, ts, value, CASE")}),
+last AS (SELECT user_id, count(*) AS events, round(sum(value), 2) AS done, round(coalesce(arg_max(rate, row(ts, event_id)) FILTER (WHERE rate IS NOT NULL), 0) * 1000000, 2) AS rate FROM rolled GROUP BY user_id),
+sized AS (SELECT *, CAST(floor((done * 2 * 10000 - done * 10000) / CASE WHEN rate > 0 THEN rate END) AS BIGINT) AS s FROM last)
+SELECT user_id, events, CASE WHEN rate >= 1000 THEN printf('%.1fk', rate / 1000) ELSE printf('%.0f', rate) END AS rate_text,
+  CASE WHEN NOT (rate > 0 AND done > 0) THEN '--' WHEN s >= 3600 THEN printf('%dh%02dm', s // 3600, s // 60 % 60) WHEN s >= 60 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS time_left FROM sized"""
+
+
+def source_kinds(spark, sf_dir):
+    """Which pages name an address that could be fetched, and which anything else."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", report.is_address(F.col("url")).alias("is_address"))
+
+
+_KINDS = "SELECT page_id, coalesce(regexp_matches(lower(url), '^https?://'), false) AS is_address FROM pages"
+
+QUERIES = {f.__name__: f for f in (corpus_by_position, token_documents, exclude_stored_identities, epoch_batches, corpus_fingerprints, bpe_decode_learnt, ngram_bans, rolling_rates, progress_report, source_kinds)}
 ORACLE_SQL = {
     "corpus_by_position": _BY_POSITION, "token_documents": _TOKEN_DOCUMENTS, "exclude_stored_identities": _EXCLUDE_STORED, "epoch_batches": _EPOCH_BATCHES,
-    "corpus_fingerprints": _FINGERPRINTS, "bpe_decode_learnt": C._DECODE, "ngram_bans": _bans_sql(), "rolling_rates": _RATES,
+    "corpus_fingerprints": _FINGERPRINTS, "bpe_decode_learnt": C._DECODE, "ngram_bans": _bans_sql(), "rolling_rates": _RATES, "progress_report": _REPORT, "source_kinds": _KINDS,
 }

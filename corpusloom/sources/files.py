@@ -36,6 +36,25 @@ def reusable(shard: dict, local: str) -> bool:
     return os.path.isfile(local) and os.path.getsize(local) == shard["size"]
 
 
+def copied(shard: dict, source: str, local: str) -> bool:
+    """Bring a shard's file to ``local``, unless a copy of the listed size is there; whether anything was copied.
+
+    The copy is written beside its target and takes its name once it has the size that the listing says.
+    """
+    from pyarrow import fs
+
+    if reusable(shard, local):
+        return False
+    files, place = fs.FileSystem.from_uri(source) if ":/" in source else (fs.LocalFileSystem(), os.path.abspath(source))
+    with atomic(local) as part:
+        with files.open_input_stream(place) as f, open(part, "wb") as out:
+            while block := f.read(8 << 20):
+                out.write(block)
+        if os.path.getsize(part) != shard["size"]:
+            raise InvalidFile(f"{source} has {os.path.getsize(part)} bytes, not the {shard['size']} listed")
+    return True
+
+
 def scan_shards(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``text`` and ``url`` of all shards, with the shard's path and the row's place; a missing url is null."""
     df = spark.read.parquet(*paths)

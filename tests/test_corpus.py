@@ -218,6 +218,36 @@ def test_windows(spark):
     assert out == {i: ids[8 * i : 8 * i + 9] for i in range(10)}
 
 
+def test_windows_are_cut_anywhere():
+    """Whole windows and pieces of stretches come to the windows of the stream, however it is cut."""
+    r = random.Random(1)
+    for _ in range(1500):
+        c, n = r.randrange(1, 9), r.randrange(60)
+        stream, whole, pieces = np.arange(n, dtype=np.int32), {}, {}
+
+        def take(found, more):
+            for w, row in zip(found[0].tolist(), found[1].tolist()):
+                assert whole.setdefault(w, row) is row  # noqa: B023
+            for w, at, ids in more:
+                pieces.setdefault(w, []).append((at, ids.tolist()))  # noqa: B023
+
+        cuts = sorted({0, n, *(r.randrange(n + 1) for _ in range(r.randrange(4)))})
+        for a, b in zip(cuts, cuts[1:]):
+            stretch, at = windows._Stretch(a, c), a
+            while at < b:
+                step = min(b, at + r.randrange(1, 12))
+                stretch.add(stream[at:step])
+                at = step
+                if r.random() < 0.4 and at < b:
+                    take(*stretch.cut(False))
+            take(*stretch.cut(True))
+        for w, own in pieces.items():
+            ids = sum((x for _, x in sorted(own)), [])
+            if len(ids) == c + 1:
+                assert whole.setdefault(w, ids) is ids
+        assert whole == {w: list(range(w * c, w * c + c + 1)) for w in range((n - 1) // c if n else 0)}
+
+
 def test_random_and_epochs(spark):
     random_ = S.Pcg32(42)
     assert [random_.u32() for _ in range(4)] == [3718933621, 842511388, 3765488214, 3246029177]

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import bytepair as B
+from corpusloom.functions import report
 from corpusloom.functions import schedule as S
 from corpusloom.operators import bpe_encode, bpe_train, corpus, epochs, fingerprint, history, prepare, rates
 from corpusloom.sources import files, keystore, positional
@@ -207,3 +208,24 @@ def test_prepare(spark, tmp_path):
     with pytest.raises(files.InvalidFile):
         prepare.shared_tokenizer([one, two])
     assert prepare.prepare(more, two, ["doc_id"], tokenizer=merges, store=store)["tokenizer"] == made["tokenizer"]
+
+
+def test_reports(spark):
+    rows = [(0.4, 0.0), (999.4, 5.0), (12345.6, 1.0), (1.0, 7300.0), (0.0, 5.0)]
+    df = spark.createDataFrame(rows, "rate double, left double").select("left", report.rate_text(F.col("rate")).alias("r"), report.time_left(F.lit(10.0), F.col("left") + 10, F.lit(1.0)).alias("t"))
+    assert [x.r for x in df.collect()] == ["0", "999", "12.3k", "1", "0"] and [x.t for x in df.collect()] == ["0s", "5s", "1s", "2h01m", "5s"]
+    odd = spark.range(1).select(report.time_left(F.lit(0.0), F.lit(9.0), F.lit(1.0)).alias("a"), report.time_left(F.lit(1.0), F.lit(9.0), F.lit(0.0)).alias("b"), report.time_left(F.lit(1.0), F.lit(188.0), F.lit(1.0)).alias("c")).first()
+    assert tuple(odd) == ("--", "--", "3m07s")
+    urls = spark.createDataFrame([("HTTP://x",), ("https://",), ("/a/http://",), ("ftp://x",), (None,)], "u string")
+    assert [x.a for x in urls.select(report.is_address(F.col("u")).alias("a")).collect()] == [True, True, False, False, False]
+
+
+def test_copies(tmp_path):
+    source, local = tmp_path / "a", str(tmp_path / "in" / "a")
+    source.write_bytes(b"x" * 100)
+    shard = {"path": "a", "size": 100}
+    assert files.copied(shard, str(source), local) and not files.copied(shard, str(source), local)
+    assert files.copied(shard, source.as_uri(), str(tmp_path / "in" / "b"))
+    with pytest.raises(files.InvalidFile):
+        files.copied({"path": "a", "size": 99}, str(source), str(tmp_path / "in" / "c"))
+    assert sorted(os.listdir(tmp_path / "in")) == ["a", "b"]
