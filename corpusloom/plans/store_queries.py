@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import bytepair as B
 from corpusloom.functions import report
 from corpusloom.functions import schedule as S
-from corpusloom.operators import bpe_encode, bpe_train, corpus, epochs, fingerprint, history, prepare, rates
+from corpusloom.operators import bpe_encode, bpe_train, corpus, epochs, evaluate, fingerprint, history, prepare, rates, windows
 from corpusloom.plans import corpus_queries as C
 from corpusloom.sources import keystore, positional
 from corpusloom.sources.shared import scratch
@@ -15,6 +15,8 @@ from corpusloom.sources.shared import scratch
 #: Bytes and entries of a range that a task reads: small, so that small tables have many.
 STEP, ENTRIES = 1 << 20, 4096
 EARLIER = ("src0", "src1", "src2")
+#: Fixed validation batches, and the most epochs of a small split that their windows may take.
+EVALUATION_SEED, EVALUATION_BATCHES, EVALUATION_EPOCHS = 4321, 64, 4
 
 
 def corpus_by_position(spark, sf_dir):
@@ -82,6 +84,52 @@ visits AS (SELECT epoch, n, i AS cursor, CAST((i::HUGEINT * stride + start) % n
 SELECT CAST(epoch AS INT) AS epoch, cursor, (epoch * n + cursor) // {C.BATCH * C.ACCUMULATION} AS update, (epoch * n + cursor) // {C.BATCH} AS microbatch, window_id, id_sum FROM visits JOIN windows USING (window_id)"""
 
 
+def _split_windows(spark, sf_dir, validation: bool):
+    """The windows of one split's stream of bytes, and how many there are."""
+    index = corpus.indexed(C._docs(spark, sf_dir)).where(F.col("is_validation") == validation)
+    total = index.agg(F.sum(F.col("doc_bytes") + 1)).first()[0] or 0
+    ids = bpe_encode.encoded(bpe_encode.spread(index.select("doc_id", "text")), [], carried=["doc_id"])
+    return windows.context_windows(ids.withColumn("ids", F.array_append("ids", F.lit(256))), C.CONTEXT), (total - 1) // C.CONTEXT
+
+
+def validation_loss(spark, sf_dir):
+    """What a bigram model of the training windows makes of fixed validation windows."""
+    rows, _ = _split_windows(spark, sf_dir, False)
+    held, chunks = _split_windows(spark, sf_dir, True)
+    picked = evaluate.validation_windows(held, chunks, EVALUATION_SEED, C.BATCH, EVALUATION_BATCHES)
+    out = evaluate.bigram_loss(evaluate.target_counts(rows), picked, 257)
+    return out.select("windows", "tokens", F.round("loss", 6).alias("loss"), F.round("perplexity", 4).alias("perplexity"))
+
+
+def _loss_sql() -> str:
+    random, all_ = S.Pcg32(EVALUATION_SEED), "18446744073709551616::UHUGEINT"
+    draws = ", ".join(f"({k}, {random.u32() << 32 | random.u32()}::UHUGEINT)" for k in range(256))
+    stride = "CAST(v % (s.n - 1)::UHUGEINT AS BIGINT) + 1"
+    steps = []
+    for name, test in (("train", "NOT"), ("held", "")):
+        steps.append(f"""{name}_sized AS (SELECT doc_id, octet_length(encode(text)) + 2 AS n, regexp_extract_all(hex(encode(text || chr(10))), '..') AS h FROM docs WHERE {test} ({C._le('sha256(text)', 0)} % 10 = 0)),
+{name}_placed AS (SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM {name}_sized),
+{name}_cells AS (SELECT o, n, h, unnest(range(0, n)) AS i FROM {name}_placed),
+{name}_stream AS (SELECT CAST(o + i AS BIGINT) AS p, CASE WHEN i = n - 1 THEN 256 ELSE CAST('0x' || h[i + 1] AS INT) END AS id FROM {name}_cells),
+{name}_pairs AS (SELECT p // {C.CONTEXT} AS w, id AS l, lead(id) OVER (ORDER BY p) AS r, max(p) OVER () AS last FROM {name}_stream),
+{name}_inside AS (SELECT w, l, r FROM {name}_pairs WHERE w < last // {C.CONTEXT})""")
+    # the sampler over as many epochs as its batches need: each begins where the one before has drawn last
+    steps.append(f"size AS (SELECT CAST(max(w) + 1 AS BIGINT) AS n FROM held_inside), draws(k, v) AS (VALUES {draws})")
+    after, many = "SELECT n, -1 AS k FROM size", []
+    for e in range(EVALUATION_EPOCHS):
+        steps.append(f"s{e} AS (SELECT p.n, min(d.k) AS k, arg_min(CAST(v % p.n::UHUGEINT AS BIGINT), d.k) AS start FROM draws d, ({after}) p WHERE d.k > p.k AND v >= {all_} % p.n::UHUGEINT GROUP BY p.n)")
+        steps.append(f"t{e} AS (SELECT s.n, min(d.k) AS k, any_value(s.start) AS start, arg_min({stride}, d.k) AS stride FROM draws d, s{e} s WHERE d.k > s.k AND v >= {all_} % (s.n - 1)::UHUGEINT AND gcd({stride}, s.n) = 1 GROUP BY s.n)")
+        after = f"SELECT n, k FROM t{e}"
+        many.append(f"SELECT {e} AS epoch, n, start, stride FROM t{e}")
+    count = C.BATCH * EVALUATION_BATCHES
+    return f"""WITH {C._DOCS}, {", ".join(steps)}, every AS ({" UNION ALL ".join(many)}),
+picked AS (SELECT CAST(((i % n)::HUGEINT * stride + start) % n AS BIGINT) AS w FROM range(0, {count}) c(i) JOIN every ON every.epoch = i // n),
+counts AS (SELECT l, r, count(*) AS n FROM train_inside GROUP BY l, r), totals AS (SELECT l, sum(n) AS whole FROM counts GROUP BY l),
+asked AS (SELECT l, r, count(*) AS times FROM picked JOIN held_inside USING (w) GROUP BY l, r),
+sums AS (SELECT sum(times) AS tokens, sum(-ln((coalesce(n, 0) + 1) / (coalesce(whole, 0) + 257)::DOUBLE) * times) AS s FROM asked LEFT JOIN counts USING (l, r) LEFT JOIN totals USING (l))
+SELECT (SELECT count(*) FROM picked) AS windows, CAST(tokens AS BIGINT) AS tokens, round(s / tokens, 6) AS loss, round(exp(s / tokens), 4) AS perplexity FROM sums"""
+
+
 def corpus_fingerprints(spark, sf_dir):
     """The content of each source as one number, whatever the order of its documents."""
     return fingerprint.fingerprints(fingerprint.lane_sums(C._docs(spark, sf_dir), ["text"], ["source"]), ["source"])
@@ -162,8 +210,8 @@ def source_kinds(spark, sf_dir):
 
 _KINDS = "SELECT page_id, coalesce(regexp_matches(lower(url), '^https?://'), false) AS is_address FROM pages"
 
-QUERIES = {f.__name__: f for f in (corpus_by_position, token_documents, exclude_stored_identities, epoch_batches, corpus_fingerprints, bpe_decode_learnt, ngram_bans, rolling_rates, progress_report, source_kinds)}
+QUERIES = {f.__name__: f for f in (corpus_by_position, token_documents, exclude_stored_identities, epoch_batches, corpus_fingerprints, bpe_decode_learnt, ngram_bans, rolling_rates, progress_report, source_kinds, validation_loss)}
 ORACLE_SQL = {
     "corpus_by_position": _BY_POSITION, "token_documents": _TOKEN_DOCUMENTS, "exclude_stored_identities": _EXCLUDE_STORED, "epoch_batches": _EPOCH_BATCHES,
-    "corpus_fingerprints": _FINGERPRINTS, "bpe_decode_learnt": C._DECODE, "ngram_bans": _bans_sql(), "rolling_rates": _RATES, "progress_report": _REPORT, "source_kinds": _KINDS,
+    "corpus_fingerprints": _FINGERPRINTS, "bpe_decode_learnt": C._DECODE, "ngram_bans": _bans_sql(), "rolling_rates": _RATES, "progress_report": _REPORT, "source_kinds": _KINDS, "validation_loss": _loss_sql(),
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import bytepair as B
 from corpusloom.functions import report
 from corpusloom.functions import schedule as S
-from corpusloom.operators import bpe_encode, bpe_train, corpus, epochs, fingerprint, history, prepare, rates
+from corpusloom.operators import bpe_encode, bpe_train, corpus, epochs, evaluate, fingerprint, history, prepare, rates
 from corpusloom.sources import files, keystore, positional
 from corpusloom.streaming import chat
 
@@ -229,3 +229,45 @@ def test_copies(tmp_path):
     with pytest.raises(files.InvalidFile):
         files.copied({"path": "a", "size": 99}, str(source), str(tmp_path / "in" / "c"))
     assert sorted(os.listdir(tmp_path / "in")) == ["a", "b"]
+
+
+def test_bigram_loss(spark):
+    import math
+
+    r = random.Random(8)
+    rows = [(i, [r.randrange(5) for _ in range(9)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "window_id long, ids array<int>").repartition(4)
+    counts: dict = {}
+    for _, ids in rows:
+        for pair in zip(ids, ids[1:]):
+            counts[pair] = counts.get(pair, 0) + 1
+    trained = evaluate.target_counts(df)
+    assert {(x.left, x.right): x.n for x in trained.collect()} == counts
+    picked = evaluate.validation_windows(df, 30, 7, 4, 9)
+    want = [(c * e.stride + e.start) % 30 for e in S.epochs(7, 30, 2) for c in range(30)][:36]
+    assert [x.window_id for x in picked.collect()] == want
+    got = evaluate.bigram_loss(trained, picked, 6).first()
+    losses = [-math.log((counts.get(p, 0) + 1) / (sum(n for (a, _), n in counts.items() if a == p[0]) + 6)) for w in want for p in zip(rows[w][1], rows[w][1][1:])]
+    assert (got.windows, got.tokens) == (36, 36 * 8)
+    assert got.loss == pytest.approx(sum(losses) / len(losses)) and got.perplexity == pytest.approx(math.exp(got.loss))
+
+
+def test_resumed_runs(tmp_path):
+    plan = evaluate.Plan(100, 1e-3, 1e-4, 10, 0.1, 1.0, 4, 2, 128)
+    run, path = evaluate.Run(plan, 30, 5, epochs.State(1, 7)), str(tmp_path / "run.json")
+    run.save(path)
+    assert evaluate.Run.load(path) == run
+    begun = run.resumed(plan, "d", "t")
+    assert (begun.data, begun.tokenizer, begun.sampler) == ("d", "t", epochs.State(1, 7)) and begun.resumed(plan, "d", "t") == begun
+    from dataclasses import replace
+
+    for bad in ((plan, "e", "t"), (plan, "d", "u"), (replace(plan, batch=8), "d", "t")):
+        with pytest.raises(files.InvalidFile):
+            begun.resumed(*bad)
+    with pytest.raises(files.InvalidFile, match="beyond"):
+        replace(begun, step=101).resumed(plan, "d", "t")
+    with pytest.raises(ValueError):
+        run.resumed(plan, " ", "t")
+    (tmp_path / "run.json").write_text("{}")
+    with pytest.raises(files.InvalidFile):
+        evaluate.Run.load(path)
