@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -105,6 +106,9 @@ class _StreamWriter(DataSourceArrowWriter):
         if not overwrite and files.get_file_info(place).type.name != "NotFound":
             raise InvalidFile(f"{path} is there already")
         self.staging = f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
+        # made here and not by tasks: one that still runs when the write is given up can't bring the folder back
+        for name in names:
+            files.create_dir(f"{place.rstrip('/')}{self.staging[len(path.rstrip('/')) :]}/{name}", recursive=True)
 
     def write(self, iterator):
         import pyarrow as pa
@@ -130,7 +134,6 @@ class _StreamWriter(DataSourceArrowWriter):
                         data = b"".join(pc.cast(column, pa.large_binary()).to_pylist())
                     if data:
                         if stream not in out:
-                            files.create_dir(f"{place}/{stream}", recursive=True)
                             out[stream] = files.open_output_stream(f"{place}/{stream}/{name}")
                         out[stream].write(data)
                         sizes[stream] += len(data)
@@ -143,7 +146,6 @@ class _StreamWriter(DataSourceArrowWriter):
         from pyarrow import fs
 
         files, place = _filesystem(self.staging)
-        files.create_dir(place, recursive=True)
         listed: dict[str, list] = {name: [] for name in self.names}
         at = dict.fromkeys(self.names, 0)
         for m in sorted((m for m in messages if m is not None), key=lambda m: m.task):
@@ -165,8 +167,14 @@ class _StreamWriter(DataSourceArrowWriter):
 
     def abort(self, messages):
         files, place = _filesystem(self.staging)
-        if files.get_file_info(place).type.name != "NotFound":
-            files.delete_dir(place)
+        for _ in range(3):
+            # tasks that are being stopped may still add a file meanwhile
+            try:
+                if files.get_file_info(place).type.name != "NotFound":
+                    files.delete_dir(place)
+                return
+            except OSError:
+                time.sleep(0.5)
 
 
 class OrderedStreams(DataSource):
