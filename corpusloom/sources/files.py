@@ -72,20 +72,20 @@ def whole_file(spark: SparkSession, path: str) -> DataFrame:
 def write_tokens(df: DataFrame, path: str) -> int:
     """Write ``ids`` of rows with doc_id, in that order, as little-endian 16-bit integers; returns the tokens.
 
-    Rows come to the driver one partition at a time. This is the exchange format for one machine; a corpus
-    that stays on the cluster is kept as Parquet.
+    Tasks write ranges, and put them into their places in the one local file, which takes its name once it is whole.
+    A corpus that stays on the cluster is better kept as streams.
     """
-    import numpy as np
+    from corpusloom.sources import positional, shared
 
-    total = 0
-    with atomic(path) as part, open(part, "wb") as out:
-        for row in df.select("doc_id", "ids").orderBy("doc_id").toLocalIterator():
-            ids = np.asarray(row.ids, np.int64)
-            if len(ids) and not (0 <= ids.min() and ids.max() < 65536):
-                raise InvalidFile("a token id is out of range")
-            out.write(ids.astype("<u2").tobytes())
-            total += len(ids)
-    return total
+    held = shared.scratch(df.sparkSession)
+    try:
+        found = positional.write_streams(positional.in_order(df.select("doc_id", "ids"), "doc_id").select("ids"), held)
+    except Exception as e:
+        if "a token id is out of range" in str(e):
+            raise InvalidFile("a token id is out of range") from e
+        raise
+    positional.join_stream(df.sparkSession, positional.parts_of(held, "ids"), path)
+    return found["bytes"]["ids"] // 2
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -106,7 +106,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     if files.where(F.col("length") >= 2**31 - 1).isEmpty():
         return files.select("path", "content").mapInArrow(run, "path string, ids array<int>")
-    raise InvalidFile("token files of 2 GB or more must be split")
+    raise InvalidFile("token files of 2 GB or more are read by token_documents of sources.positional")
 
 
 def documents_of(tokens: DataFrame, eos: int) -> DataFrame:
