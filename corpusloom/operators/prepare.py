@@ -31,7 +31,11 @@ def prepare(rows: DataFrame, out: str, order: Sequence[str], merges: int = 16_00
     wanted = {"source": fingerprint(rows, columns), "order": list(order), "merges": merges if given is None else given, "sampleBytes": sample_bytes if given is None else None, "excluded": store, "batch": batch}
     found = files.read_manifest(path)
     if found and all(found.get(k) == v for k, v in wanted.items()) and _whole(out, found):
+        _recorded(rows.sparkSession, out, store, batch)
         return found
+    if store and batch is not None and keystore.has_batch(rows.sparkSession, store, batch):
+        # its own keys would leave out all documents
+        raise files.InvalidFile(f"the store already has batch {batch}, made from something else")
     os.makedirs(out, exist_ok=True)
     index = corpus.indexed(rows)
     if store and os.path.isdir(f"{store}/keys"):
@@ -47,14 +51,20 @@ def prepare(rows: DataFrame, out: str, order: Sequence[str], merges: int = 16_00
     docs = bpe_encode.encoded(docs, learnt, "content", framed=False, carried=["is_validation"])
     ids = F.array_append("ids", F.lit(256 + len(learnt)))
     tokens = positional.write_streams(docs.select(F.when(~F.col("is_validation"), ids).alias("train"), F.when(F.col("is_validation"), ids).alias("validation")), f"{out}/tokens")
-    if store and batch is not None:
-        keystore.append(index, store, batch)
     discard(index)
     made = wanted | {"documents": written["rows"], "bytes": written["bytes"] | tokens["bytes"], "tokens": {k: n // 2 for k, n in tokens["bytes"].items()}, "tokenizer": files.file_digest(f"{out}/tokenizer.json")}
     files.write_manifest(made, path)
+    _recorded(rows.sparkSession, out, store, batch)
     return made
 
 
+def _recorded(spark, out: str, store: str | None, batch: int | None) -> None:
+    """Add the keys of a finished corpus to the store, unless they are there."""
+    if store and batch is not None and not keystore.has_batch(spark, store, batch):
+        index = positional.read_indexed(spark, positional.parts_of(f"{out}/corpus", "index"), positional.parts_of(f"{out}/corpus", "corpus"))
+        keystore.append(index.select("sample_key"), store, batch)
+
+
 def _whole(out: str, manifest: dict) -> bool:
     """Whether the files are there in the sizes, and the tokenizer with the content, that a manifest names."""
     tokenizer = f"{out}/tokenizer.json"

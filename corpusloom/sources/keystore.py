@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.sources.shared import stored
+from corpusloom.sources.files import InvalidFile
+from corpusloom.sources.shared import discard, exists, stored
 
 #: Buckets, bits of a filter for each key, and places of a key.
 BUCKETS, BITS, PLACES = 64, 10, 5
@@ -35,11 +36,19 @@ def _places(keys: np.ndarray, size: int) -> np.ndarray:
     return ((keys.view(np.uint64)[:, None] * odd) >> np.uint64(24)) % np.uint64(size)
 
 
+def has_batch(spark: SparkSession, path: str, batch: int) -> bool:
+    return exists(spark, f"{path}/keys/batch={batch}/_SUCCESS")
+
+
 def append(index: DataFrame, path: str, batch: int, buckets: int = BUCKETS) -> None:
-    """Add the keys of ``index`` (sample_key) as ``batch``, a number that the store doesn't have yet."""
+    """Add the keys of ``index`` (sample_key) as ``batch``, a number that the store doesn't have yet.
+
+    Filters are written first: a batch that breaks off has none that keys lack, and may be added again.
+    """
     spark = index.sparkSession
-    keys = index.select(signed_key(F.col("sample_key")).alias("key")).where("key IS NOT NULL").distinct().withColumn("bucket", _bucket(buckets))
-    keys.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{path}/keys/batch={batch}")
+    if has_batch(spark, path, batch):
+        raise InvalidFile(f"the store already has batch {batch}")
+    keys = stored(index.select(signed_key(F.col("sample_key")).alias("key")).where("key IS NOT NULL").distinct().withColumn("bucket", _bucket(buckets)))
 
     def run(table):
         import pyarrow as pa
@@ -50,7 +59,9 @@ def append(index: DataFrame, path: str, batch: int, buckets: int = BUCKETS) -> N
         bits[_places(keys, size).ravel().astype(np.int64)] = True
         return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "size": pa.array([size], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    spark.read.schema("key long, bucket int").parquet(f"{path}/keys/batch={batch}").groupBy("bucket").applyInArrow(run, "bucket int, size long, bits binary").write.parquet(f"{path}/filters/batch={batch}")
+    keys.groupBy("bucket").applyInArrow(run, "bucket int, size long, bits binary").write.mode("overwrite").parquet(f"{path}/filters/batch={batch}")
+    keys.repartition("bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/batch={batch}")
+    discard(keys)
 
 
 def _passing(keys: DataFrame, filters: DataFrame) -> DataFrame:

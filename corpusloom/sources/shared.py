@@ -61,6 +61,11 @@ def _remove_all() -> None:
         _remove(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def scratch(spark: SparkSession) -> str:
     """A path in the shared folder for files that go when the driver ends."""
     path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"

@@ -32,8 +32,12 @@ def test_key_store(spark, tmp_path):
     fresh = spark.range(3000).select(F.xxhash64("id").alias("key")).withColumn("bucket", keystore._bucket(16))
     assert keystore._passing(fresh, filters).count() < 300
     assert sorted(x.text for x in keystore.excluded(index(["new"]), path, 16).collect()) == ["new"]
-    with pytest.raises(Exception, match="already exists"):
+    with pytest.raises(files.InvalidFile):
         keystore.append(index(["z"]), path, 1, 16)
+    # a batch that broke off may be added again
+    os.unlink(f"{path}/keys/batch=1/_SUCCESS")
+    keystore.append(index(["c", "w"]), path, 1, 16)
+    assert sorted(x.text for x in keystore.excluded(index(["c", "w", "z"]), path, 16).collect()) == ["z"]
     keys = spark.sql("SELECT CAST('18446744073709551615' AS DECIMAL(20,0)) AS k UNION ALL SELECT 5 UNION ALL SELECT NULL")
     assert {x[0] for x in keys.select(keystore.signed_key(F.col("k"))).collect()} == {-1, 5, None}
 
@@ -199,6 +203,12 @@ def test_prepare(spark, tmp_path):
     stamp = os.path.getmtime(f"{one}/manifest.json")
     assert prepare.prepare(df.orderBy(F.rand()), one, ["doc_id"], merges=20, sample_bytes=2000, store=store, batch=0, entries=16) == json.loads(json.dumps(made))
     assert os.path.getmtime(f"{one}/manifest.json") == stamp
+    # what broke off after the manifest is made up for; other rows can't take the same batch
+    os.unlink(f"{store}/keys/batch=0/_SUCCESS")
+    prepare.prepare(df, one, ["doc_id"], merges=20, sample_bytes=2000, store=store, batch=0, entries=16)
+    assert keystore.has_batch(spark, store, 0) and keystore.stored_keys(spark, store).distinct().count() == len(set(texts))
+    with pytest.raises(files.InvalidFile):
+        prepare.prepare(df.limit(5), two, ["doc_id"], merges=20, sample_bytes=2000, store=store, batch=0)
     # a later corpus leaves out what the store has
     more = spark.createDataFrame([(1, texts[5]), (2, "something new"), (3, "and more")], "doc_id long, text string")
     later = prepare.prepare(more, two, ["doc_id"], tokenizer=merges, store=store)
