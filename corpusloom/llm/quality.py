@@ -133,7 +133,7 @@ def _judged(docs: DataFrame, bucket_weights: list[int], text_col: str, threshold
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.aggregate(steps, F.lit(0), lambda a, b: a + b).cast("long"),
             "_sum": weighed("_h1", 0) + weighed("_h2", half),
-            "_grams": F.size("_h1") + F.size("_h2") + SHRINK,
+            "_grams": (F.size("_h1") + F.size("_h2") + SHRINK).cast("long"),
         }
     )
     df = df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))

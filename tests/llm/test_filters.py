@@ -282,3 +282,30 @@ def test_toxicity_query(spark, data):
     assert len(out) == spark.read.parquet(f"{data}/documents.parquet").count()
     assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) and x.predicted == int(x.score >= 0.5) for x in out)
     assert np.isfinite([x.score for x in out]).all()
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """The model ranks labelled rows that it hasn't seen; odd texts have scores too."""
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = toxicity.op8_toxicity(spark, folder).where("held_out").join(labels, "doc_id").select("score", "toxic", "predicted").collect()
+    bad, good = ([x.score for x in rows if x.toxic == k] for k in (1, 0))
+    assert len(bad) > 20 and len(good) > 200
+    auc = np.mean([(x > y) + 0.5 * (x == y) for x in bad for y in good])
+    assert auc > 0.95
+    assert np.mean([x > 0.5 for x in bad]) > 0.85 and np.mean([x >= 0.5 for x in good]) < 0.03
+
+
+def test_toxicity_of_odd_texts(spark):
+    labelled = spark.createDataFrame([(i, "you awful fool" if i % 2 else "a calm day", i % 2) for i in range(40)], "doc_id long, text string, toxic int")
+    model = toxicity.train(labelled)
+    texts = ["you awful fool", "a calm day", None, "", "x " * 400_000 + "awful fool", "awful fool " * 100_000]
+    df = spark.createDataFrame([(i, t, 9.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    got = [x.score for x in sorted(toxicity.scored(df, model).collect())]
+    assert got[0] > 0.5 > got[1] and got[2] == got[3] and all(0 <= x <= 1 for x in got)
+    assert toxicity.scored(df.limit(0), model).collect() == []
+    assert toxicity.train(labelled.limit(0)) == (-4.0, (), ())

@@ -39,3 +39,31 @@ def test_run(spark, data):
 
     out = P.run(spark, data)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100
+
+
+def test_odd_tables(spark, data):
+    """Empty tables, repeated rows, very long texts, nulls and columns with the names that stages use."""
+    import corpus_pipeline as P
+
+    from corpusloom.llm.common import materialize
+
+    r = random.Random(3)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8))) for _ in range(n)) + "."
+    one = text(120)
+    rows = [(1, one), (1, one), (2, text(150_000)), (None, text(90)), (3, None), (4, ""), (None, None)]
+    clash = ["own", "words", "base", "spans", "file", "row", "key", "bands", "digest", "kept", "score", "n_words", "piece"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or ""), *[c.upper() for c in clash]) for i, t in rows], schema)
+    empty = docs.limit(0)
+    kept = []
+    for name, stage in P.STAGES:
+        none = stage(spark, empty, data)
+        assert none.count() == 0, name
+        new = materialize(stage(spark, docs, data))
+        if name != "packing":
+            assert new.columns == docs.columns == none.columns, name
+            assert all(x[c] == c.upper() for x in new.collect() for c in clash)
+            docs = new
+        kept.append(sorted((x.doc_id or 0) for x in new.select("doc_id").distinct().collect()))
+    assert kept == [[0, 1, 2]] * 5
+    assert docs.count() == 3 and max(len(x.text) for x in docs.collect()) > 500_000
