@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.sources.shared import _STORED, _remove, discard, shared_dir, stored
+from corpusloom.sources.shared import _STORED, _remove, discard, shared_dir, small_batches, stored  # noqa: F401
 
 __all__ = ["discard", "materialize", "shared_dir"]
 materialize = stored
@@ -49,12 +49,6 @@ def located(df: DataFrame, *columns: Column | str) -> DataFrame:
         return placed(materialize(df))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hold the Arrow batches that Python workers get to ``rows`` rows and 8 MB, so that long texts fit."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-
-
 def in_groups(texts: list[str], chars: int = 1 << 17) -> Iterator[tuple[int, list[str]]]:
     """``texts`` in groups of about ``chars`` characters, each with the place of its first text.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from corpusloom.functions import bytepair as B
 from corpusloom.functions import identity as I
 from corpusloom.functions import schedule as S
 from corpusloom.operators import bpe_encode, bpe_train, corpus, mixture, windows
+from corpusloom.sources.shared import discard, stored
 
 
 def test_identity_and_split(spark):
@@ -273,3 +275,26 @@ def test_rates_and_budgets(spark):
 def test_ids_out_of_range(spark):
     with pytest.raises(Exception, match="out of range"):
         spark.createDataFrame([([70000],)], "ids array<int>").select(corpus.checked_ids(F.col("ids"))).collect()
+
+
+def test_tables_of_chunks_are_held_in_small_rows_and_row_groups(spark, monkeypatch):
+    """Tasks hold several rows of a table, and a row group of it, in memory."""
+    import pyarrow.parquet as pq
+
+    tables = []
+    kept = lambda *a, **b: tables.append(stored(*a, **b)) or tables[-1]
+    monkeypatch.setattr(bpe_train, "stored", kept)
+    monkeypatch.setattr(bpe_train, "discard", lambda *tables: None)
+    r = random.Random(3)
+    texts = [bytes(r.choices(b"aabcdefgh", k=20_000)).decode() for _ in range(400)]
+    found = bpe_train.train_by_passes(spark.createDataFrame([(x,) for x in texts], "text string"), 2)
+    assert found[0] == (97, 97, sum(len(re.findall("a(?=a)", x)) for x in texts)) and len(found) == 2
+    chunks = [t for t in tables if "ids" in t.columns]
+    assert len(chunks) == 2
+    for table in chunks:
+        assert table.agg(F.max(F.octet_length("ids"))).first()[0] <= 1 << 20
+        for file in table.inputFiles():
+            groups = pq.ParquetFile(file.removeprefix("file://")).metadata
+            assert max(groups.row_group(k).total_byte_size for k in range(groups.num_row_groups)) <= 24 << 20
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+    discard(*tables)
