@@ -11,9 +11,26 @@ def is_address(source: Column) -> Column:
     return F.coalesce(F.lower(source).rlike("^https?://"), F.lit(False))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """``x`` times a power of ten, rounded half away from zero, and divided by it again: SQL's rounding of a double."""
+    scaled = F.round(x * F.lit(float(10**places))) / F.lit(float(10**places))
+    return F.when(F.abs(x) < 1e300, scaled).otherwise(x)
+
+
 def rate_text(rate: Column) -> Column:
-    """A rate as a whole number, or from a thousand on in thousands with a decimal."""
-    return F.when(rate >= 1000, F.format_string("%.1fk", rate.cast("double") / 1000)).otherwise(F.format_string("%.0f", rate.cast("double")))
+    """A rate as a whole number, or from a thousand on in thousands with a decimal.
+
+    It is rounded as printf does: by the double's exact value, and to an even digit if that is a tie.
+    """
+    rate = rate.cast("double")
+    k = rate / 1000
+    tenths = F.floor(k * 10)
+    middle = 2 * tenths.cast("double") + 1
+    # the sign of 20 * k - middle; each difference is exact, as its terms are within a factor of two
+    over = (k * 16 - middle) + k * 4
+    tenths = tenths + F.when((over > 0) | ((over == 0) & (tenths % 2 == 1)), 1).otherwise(0)
+    thousands = F.when(k < 1e14, F.format_string("%d.%dk", F.floor(tenths / 10), tenths % 10)).otherwise(F.format_string("%.1fk", k))
+    return F.when(rate >= 1000, thousands).otherwise(F.format_string("%.0f", F.bround(rate, 0)))
 
 
 def time_left(done: Column, total: Column, rate: Column) -> Column:

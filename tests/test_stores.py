@@ -281,3 +281,17 @@ def test_resumed_runs(tmp_path):
     (tmp_path / "run.json").write_text("{}")
     with pytest.raises(files.InvalidFile):
         evaluate.Run.load(path)
+
+
+def test_rates_are_rounded_as_their_sql_does(spark):
+    import duckdb
+
+    r = random.Random(5)
+    rates = [0.5, 1.5, 2.5, 999.5, 1000.0, 1050.0, 1150.0, 1250.0, 1349.99, 1350.0, 1e16, 7e19, *(50.0 * k for k in range(20, 400)), *(k + 0.5 for k in range(50)), *(round(r.uniform(0, 10**r.randrange(1, 12)), 2) for _ in range(2000))]
+    sums = [1.005, 2.675, 1.115, 0.125, -1.005, 1e17, *(k / 1000 for k in range(5, 9000, 10)), *(r.uniform(0, 1e9) for _ in range(500))]
+    found = spark.createDataFrame([(x,) for x in rates], "x double").select("x", report.rate_text(F.col("x")).alias("y")).collect()
+    c = duckdb.connect()
+    text = c.execute("SELECT x, CASE WHEN x >= 1000 THEN printf('%.1fk', x / 1000) ELSE printf('%.0f', x) END FROM (SELECT unnest(?::DOUBLE[]) AS x)", [rates]).fetchall()
+    assert [tuple(x) for x in found] == text
+    found = spark.createDataFrame([(x,) for x in sums], "x double").select("x", report.rounded(F.col("x"), 2).alias("y")).collect()
+    assert [tuple(x) for x in found] == c.execute("SELECT x, round(x, 2) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [sums]).fetchall()
