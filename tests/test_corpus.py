@@ -298,3 +298,21 @@ def test_tables_of_chunks_are_held_in_small_rows_and_row_groups(spark, monkeypat
             assert max(groups.row_group(k).total_byte_size for k in range(groups.num_row_groups)) <= 24 << 20
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
     discard(*tables)
+
+
+def test_ids_travel_to_their_windows_in_few_bytes(spark, monkeypatch):
+    """The tables and shuffles on the way to windows take about a byte for a small id."""
+    import os
+
+    from corpusloom.operators import prefix
+
+    tables = []
+    monkeypatch.setattr(prefix, "stored", lambda df: tables.append(stored(df)) or tables[-1])
+    r = random.Random(4)
+    docs = [(k, [r.choice([97, 98, 256, 70_000]) for _ in range(r.randrange(3000))]) for k in range(100)] + [(100, None), (101, [])]
+    stream = [x for _, ids in docs for x in ids or []]
+    found = windows.context_windows(spark.createDataFrame(docs, "doc_id long, ids array<int>"), 64).collect()
+    assert {x.window_id: x.ids for x in found} == {k: stream[64 * k : 64 * k + 65] for k in range((len(stream) - 1) // 64)}
+    assert dict(tables[0].dtypes)["ids"] == "binary"
+    assert sum(os.path.getsize(x.removeprefix("file://")) for x in tables[0].inputFiles()) < 2 * len(stream)
+    discard(*tables)
