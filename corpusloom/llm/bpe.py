@@ -22,6 +22,8 @@ from .common import ByWords, Kept, kept_in_worker, small_batches
 
 #: Words kept with their ids in a worker; pairs of parts kept with their ranks.
 CACHE_ENTRIES, PAIR_ENTRIES = 1_000_000, 1_000_000
+#: Ids that are decoded at once; a longer row is decoded alone.
+STRETCH = 1 << 18
 
 
 class RankBitmap:
@@ -77,6 +79,12 @@ class RankedBpe:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
+        self.double = [[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
+        # all tokens' bytes, and where those of each id are; a length of -1 where there is no token
+        self.data = np.frombuffer(b"".join(self.tokens.values()), np.uint8)
+        self.lengths, self.begins = np.full(max(self.tokens) + 1, -1, np.int64), np.zeros(max(self.tokens) + 1, np.int64)
+        own = np.array([len(token) for token in self.tokens.values()], np.int64)
+        self.lengths[list(self.tokens)], self.begins[list(self.tokens)] = own, np.cumsum(own) - own
         self.bitmap = RankBitmap(max(ranks.values()) + 1)
         self.pairs = _Pairs(ranks, self.tokens)
         piece = lambda text: np.array(self.encode_piece(text.encode()), np.int32).tobytes()
@@ -96,11 +104,8 @@ class RankedBpe:
         part = [self.single[b] for b in piece]
         part.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n))
-        left = part[0]
-        for at in range(n - 1):
-            right = part[at + 1]
-            rank = pairs[(left << 20) + right]
-            left = right
+        double = self.double
+        for at, rank in enumerate([double[a][b] for a, b in zip(piece, piece[1:])]):
             if rank >= 0:
                 if rank in buckets:
                     buckets[rank].append(at)  # in order, so a heap
@@ -151,7 +156,19 @@ class RankedBpe:
 
     def decode(self, ids) -> bytes:
         """The bytes of ``ids``; an id without a token raises KeyError."""
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return self.decode_rows(np.asarray(ids, np.int64), np.array([len(ids)]))[0]
+
+    def decode_rows(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of concatenated rows of ids, by where each row ends."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.lengths) and self.lengths[ids].min() >= 0):
+            raise KeyError("an id has no token")
+        lengths = self.lengths[ids]
+        after = np.append(0, np.cumsum(lengths))
+        # each byte's place among all tokens': its token's begin plus its place in the token
+        places = np.repeat(self.begins[ids] - after[:-1], lengths)
+        places += np.arange(after[-1])
+        data, stops = self.data[places].tobytes(), after[ends].tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
 
 
 def load(path: str | None = None, pattern: str | None = None) -> RankedBpe:
@@ -209,8 +226,12 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks_pa
         bpe = load(ranks_path)
         for batch in batches:
             ids = batch.column(1)
-            values, ends = np.asarray(ids.flatten()).tolist(), np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(ids), 0)))
-            decoded = [bpe.decode(values[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            values, ends = np.asarray(ids.flatten()), np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(ids), 0)), dtype=np.int64)
+            decoded, row, at = [], 0, 0
+            while row < len(ends):
+                stop = max(row + 1, int(np.searchsorted(ends, at + STRETCH, "right")))
+                decoded += bpe.decode_rows(values[at : ends[stop - 1]], ends[row:stop] - at)
+                row, at = stop, int(ends[stop - 1])
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], [id_col, "ids", "decoded"])
 
     schema = T.StructType([_carried(df, id_col), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])

@@ -260,3 +260,14 @@ def test_top_k_of_few_rows(spark):
     large = spark.createDataFrame([(0, [3 * 10**9 + 1, 7]), (1, [10**9 + 1, 5]), (2, [10**9 + 1, 6])], "vec_id long, v array<long>")
     got = search.top_k(large, large.where("vec_id = 0")).collect()
     assert [(x.vec_id, x.score) for x in got] == [(v, (3 * 10**9 + 1) * (10**9 + 1) + 7 * c) for v, c in ((2, 6), (1, 5))]
+
+
+def test_rows_are_decoded_together():
+    coder = bpe.load()
+    texts = ["", "a b", "ü" * 50, "", "x1 y2\n" * 30]
+    ids = [coder.encode(t) for t in texts]
+    ends = np.cumsum([len(x) for x in ids])
+    assert coder.decode_rows(np.concatenate(ids), ends) == [t.encode() for t in texts]
+    assert coder.decode([]) == b"" and coder.decode_rows(np.zeros(0, np.int32), np.zeros(0, np.int64)) == []
+    with pytest.raises(KeyError):
+        coder.decode_rows(np.array([-1]), np.array([1]))
