@@ -188,3 +188,24 @@ def test_gradients_go_through_wide_arrays_seldom():
     top = logits.max(-1)
     plain = np.log(np.exp(logits - top[..., None]).sum(-1)) + top - np.take_along_axis(logits, ids[:, 1:, None], -1)[..., 0]
     assert np.isfinite(loss) and abs(loss / plain.mean() - 1) < 1e-9 and all(np.isfinite(g).all() for g in grads.values())
+
+
+def test_gradients_in_32_bits(spark, monkeypatch):
+    """A batch's numbers stay in the parameters' precision, and attention in spans of any size is the same."""
+    c = gpt.Config(257, 100, 16, 2, 2)
+    p, r = gpt.initial(c, 3), np.random.RandomState(4)
+    ids = r.randint(0, 257, (20, 101))
+    loss, want = gpt.loss_and_gradients(p, c, ids[:, :-1], ids[:, 1:])
+    short = {k: v.astype(np.float32) for k, v in p.items()}
+    value, grads = gpt.loss_and_gradients(short, c, ids[:, :-1], ids[:, 1:])
+    assert all(g.dtype == np.float32 for k, g in grads.items() if k != "tok") and gpt._hidden(short, c, ids[:, :-1])[0].dtype == np.float32
+    assert abs(value - loss) < 1e-6 and all(np.abs(grads[k] - want[k]).max() < 1e-6 for k in want)
+    windows = spark.createDataFrame([(x.tolist(),) for x in ids], "ids array<int>").repartition(3)
+    value, grads = gpt.distributed_gradients(windows, p, c, 4, np.float32)
+    assert abs(value - loss) < 1e-6 and all(np.abs(grads[k] - want[k]).max() < 1e-7 for k in want)
+    sharp = {k: v * 300 if k.endswith("qkv.w") else v for k, v in p.items()}
+    steep, own = gpt.loss_and_gradients(sharp, c, ids[:, :-1], ids[:, 1:])
+    monkeypatch.setattr(gpt, "SPAN", 1000)
+    for weights, a, b in ((p, loss, want), (sharp, steep, own)):
+        value, grads = gpt.loss_and_gradients(weights, c, ids[:, :-1], ids[:, 1:])
+        assert np.isfinite(value) and abs(value - a) < 1e-9 and all(np.allclose(grads[k], b[k], rtol=1e-6, atol=1e-9) for k in want)
