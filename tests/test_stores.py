@@ -5,14 +5,17 @@ from __future__ import annotations
 import json
 import os
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import bytepair as B
 from corpusloom.functions import report
 from corpusloom.functions import schedule as S
-from corpusloom.operators import bpe_encode, bpe_train, corpus, epochs, evaluate, fingerprint, history, prepare, rates
+from corpusloom.operators import bpe_encode, bpe_train, corpus, epochs, evaluate, fingerprint, history, prepare, rates, windows
 from corpusloom.sources import files, keystore, positional
 from corpusloom.streaming import chat
 
@@ -57,6 +60,31 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprint(df.limit(0), ["text"]) == fingerprint.fingerprint(two.limit(0), ["x"])
 
 
+def test_window_sums(spark, monkeypatch):
+    """Sums without ids are those of the windows, for texts of all lengths and doc_ids that repeat."""
+    r = np.random.RandomState(5)
+    sizes = [0, 1, 6, 7, 8, 9, 300, 5000, 2, 0, 0, 17]
+    for doc_ids in ([*range(len(sizes))], [3, 3, 3, None, 7, 7, 1, 9, 10, 11, 12, 12]):
+        docs = [(k, bytes(r.randint(97, 123, n).tolist()).decode()) for k, n in zip(doc_ids, sizes)]
+        found, total = windows.window_sums(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 8, (10, 256))
+        docs.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        stream = [b for _, text in docs for b in (*text.encode(), 10, 256)]
+        want = {w: sum(stream[8 * w : 8 * w + 9]) for w in range((len(stream) - 1) // 8)}
+        assert total == len(stream) and sorted(tuple(x) for x in found.collect()) == sorted(want.items())
+    assert windows.window_sums(spark.createDataFrame([], "doc_id long, text string"), 8, (10, 256))[1] == 0
+    # a long text in pieces, in a column that begins within its buffer
+    monkeypatch.setattr(windows, "SUMMED", 64)
+    text = pa.array([b"zz", bytes(range(1, 201)), b"", b"abc"], pa.binary())[1:]
+    stream = [*range(1, 201), 10, 256, 10, 256, *b"abc", 10, 256]
+    sums = Counter()
+    for window, part, n in windows._sums_within(np.array([16, 218, 220]), text, 8, (10, 256)):
+        assert len(window) == len(part) == len(n)
+        for w, x in zip(window.tolist(), part.tolist()):
+            sums[w] += x
+    stream = [0] * 16 + stream
+    assert sums == {w: sum(stream[8 * w : 8 * w + 9]) for w in range(1, (len(stream) - 1) // 8 + 1)}
+
+
 @pytest.mark.parametrize("chunks", [1, 2, 10, 97])
 def test_epochs_with_contents(spark, chunks):
     rows = spark.createDataFrame([(i, [i, i + 1]) for i in range(chunks)], "window_id long, ids array<int>")
