@@ -85,6 +85,18 @@ def test_window_sums(spark, monkeypatch):
     assert sums == {w: sum(stream[8 * w : 8 * w + 9]) for w in range(1, (len(stream) - 1) // 8 + 1)}
 
 
+def test_epochs_are_dealt_by_place(spark):
+    """Ranges of places are known: nothing runs twice to find them; and cursors are exact on either side of 64 bits."""
+    rows, _ = epochs.batches(spark.range(97).withColumnRenamed("id", "window_id"), 97, 17, 194, ranges=4)
+    assert "rangepartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [x[0] for x in rows.groupBy(F.spark_partition_id().alias("p")).count().orderBy("p").select("count").collect()] == [49, 49, 49, 47]
+    for chunks in (3037000499, 3037000501, 10**12 + 39):
+        epoch, at = S.epochs(17, chunks, 1)[0], [0, 1, 2, chunks // 3, chunks - 2, chunks - 1]
+        places = [(c, (c * epoch.stride + epoch.start) % chunks) for c in at]
+        got = spark.createDataFrame(places, "c long, w long").select("c", epochs.cursor_of(epoch, F.col("w")).alias("found")).collect()
+        assert all(x.c == x.found for x in got)
+
+
 @pytest.mark.parametrize("chunks", [1, 2, 10, 97])
 def test_epochs_with_contents(spark, chunks):
     rows = spark.createDataFrame([(i, [i, i + 1]) for i in range(chunks)], "window_id long, ids array<int>")
